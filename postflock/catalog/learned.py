@@ -6,6 +6,7 @@ from postflock.catalog.registry import WORD, entry, q6, r6
 from postflock.catalog.weights import author_posts
 from postflock.operators import dbscan as db, lexicon as lx, tfidf as ti
 from postflock.plans import cluster as cl, recommend as rc, tags as tg
+from postflock.session import cut_lineage
 
 _ENDS = "CAST(ascii(term) % 21 - 10 AS DOUBLE) / 10"
 # A lexicon drawn from the texts themselves: the 400 most frequent words, polarity by first
@@ -103,7 +104,7 @@ def dbscan(t):
 @entry("m13_silhouette")
 def silhouette(t):
     """Each cluster with its size and the quality of the whole clustering."""
-    features = cl.content_features(t.posts)
+    features = cut_lineage(cl.content_features(t.posts))
     labels = cl.kmeans(features, cl.CONTENT_CLUSTERS, restarts=3)
     quality = cl.silhouette(features, labels)
     return labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).withColumn("silhouette", F.lit(quality))

@@ -14,20 +14,53 @@ The method is the threshold algorithm of Fagin, Lotem and Naor, recast as joins.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from postflock.operators.ranking import top_k
 
 HEAD = 128
 PLAIN_ROWS = 2_000_000_000
+# Rows one task of the plain join should make, and items small enough to be sent to every task.
+TASK_ROWS = 4_000_000
+SENT_ITEMS = 1_000_000
+SALTS = 16
+
+
+@dataclass(frozen=True)
+class Work:
+    """Measured size of a plain join: rows it makes and items on its right side."""
 
+    rows: int
+    items: int
 
-def join_rows(wants: DataFrame, postings: DataFrame) -> int:
-    """Rows that a plain join on ``key`` would make: one small aggregate per side."""
+
+def measure(wants: DataFrame, postings: DataFrame) -> Work:
+    """One small aggregate per side; no pair is made."""
     left = wants.groupBy("key").agg(F.count(F.lit(1)).alias("a"))
     right = postings.groupBy("key").agg(F.count(F.lit(1)).alias("b"))
-    product = F.col("a").cast("double") * F.col("b")
-    return int(left.join(right, "key").agg(F.coalesce(F.sum(product), F.lit(0.0))).first()[0])
+    product = F.coalesce("a", F.lit(0)).cast("double") * F.col("b")
+    found = right.join(left, "key", "left").agg(F.sum(product), F.sum("b")).first()
+    return Work(int(found[0] or 0), int(found[1] or 0))
+
+
+def matched(wants: DataFrame, postings: DataFrame, work: Work) -> DataFrame:
+    """Join on ``key`` spread over as many tasks as the measured rows ask for.
+
+    Inputs are small next to the output here, so sizes alone would leave all of it to few tasks.
+    Few items go to every task, and people are spread by id, so the pairs of a person meet in
+    one task and the sums that follow need no shuffle. Otherwise each key is salted on the left
+    and repeated on the right, so that a hot key is worked on by many tasks.
+    """
+    context = wants.sparkSession.sparkContext
+    tasks = max(context.defaultParallelism, work.rows // TASK_ROWS)
+    if work.items <= SENT_ITEMS:
+        return wants.repartition(tasks, "me").join(F.broadcast(postings), "key")
+    salted = wants.withColumn("_salt", F.pmod(F.xxhash64("me"), F.lit(SALTS)).cast("int"))
+    repeated = postings.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keys = ["key", "_salt"]
+    return salted.repartition(tasks, *keys).join(repeated.repartition(tasks, *keys), keys).drop("_salt")
 
 
 def _visible(postings: DataFrame, order, head: int):
@@ -79,10 +112,11 @@ def top_by_sum(
     order = [F.desc("score"), F.col("item")]
 
     def plain(part: DataFrame) -> DataFrame:
-        pairs = part.join(postings, "key").groupBy("me", "item").agg(F.sum("v").alias("score"))
+        pairs = matched(part, postings, work).groupBy("me", "item").agg(F.sum("v").alias("score"))
         return top_k(_without(pairs, exclude, skip_self), ["me"], order, k)
 
-    if join_rows(wants, postings) <= plain_rows:
+    work = measure(wants, postings)
+    if work.rows <= plain_rows:
         return plain(wants)
 
     visible, last, tail = _visible(postings, [F.desc("v"), F.col("item")], head)
@@ -122,14 +156,15 @@ def top_by_jaccard(
         ratio = F.col("score") / (F.col("size") + F.col("v") - F.col("score"))
         return pairs.join(sizes, "me").withColumn("score", ratio).select("me", "item", "score")
 
-    def overlap(part: DataFrame, lists: DataFrame) -> DataFrame:
-        pairs = part.join(lists, "key").filter(F.col("me") != F.col("item"))
+    def overlap(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.filter(F.col("me") != F.col("item"))
         return pairs.groupBy("me", "item").agg(F.count(F.lit(1)).alias("score"), F.max("v").alias("v"))
 
     def plain(part: DataFrame) -> DataFrame:
-        return top_k(index(overlap(part, postings)), ["me"], order, k)
+        return top_k(index(overlap(matched(part, postings, work))), ["me"], order, k)
 
-    if join_rows(sets, postings) <= plain_rows:
+    work = measure(sets, postings)
+    if work.rows <= plain_rows:
         return plain(sets)
 
     visible, last, tail = _visible(postings, [F.col("v"), F.col("item")], head)
@@ -147,7 +182,7 @@ def top_by_jaccard(
             F.count(F.lit(1)).alias("_cut"),
         )
     )
-    seen = _exact(overlap(sets, visible), heavy_wants, tail, F.count(F.lit(1)))
+    seen = _exact(overlap(sets.join(visible, "key")), heavy_wants, tail, F.count(F.lit(1)))
     best = top_k(index(seen), ["me"], order, k)
     tie = (F.col("score") == F.col("_bound")) & (F.col("_cut") == 1) & (F.col("item") <= F.col("_past"))
     return _settle(sets, best, bound, (F.col("score") > F.col("_bound")) | tie, plain, k)

@@ -14,13 +14,17 @@ def exact_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
     exact pick is made among the distinct values inside it.
     """
     margin = 3.0 / ACCURACY
-    edges = df.agg(
-        F.percentile_approx(column, [max(0.0, q - margin), min(1.0, q + margin)], ACCURACY).alias("e")
+    sketch = F.percentile_approx(column, [max(0.0, q - margin), min(1.0, q + margin)], ACCURACY)
+    facts = df.agg(
+        F.count(column).alias("n"), F.min(column).alias("a"), F.max(column).alias("z"), sketch.alias("e")
     )
-    low, high = (edges.select(F.col("e")[i]).scalar() for i in (0, 1))
+    # On few rows the margin is less than one rank, so all of them are taken.
+    few = F.col("n") <= ACCURACY
+    low = facts.select(F.when(few, F.col("a")).otherwise(F.col("e")[0])).scalar()
+    high = facts.select(F.when(few, F.col("z")).otherwise(F.col("e")[1])).scalar()
     value = F.col(column)
     below = df.agg(F.count_if(value < low).alias("b"))
-    position = F.lit(q) * (F.lit(df.filter(value.isNotNull()).agg(F.count(column)).scalar()) - 1)
+    position = F.lit(q) * (facts.select("n").scalar() - 1)
     inside = (
         df.filter((value >= low) & (value <= high))
         .groupBy(value.alias("x")).agg(F.count(F.lit(1)).alias("n"))

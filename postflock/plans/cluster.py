@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -20,6 +21,7 @@ from postflock.session import cut_lineage
 TEXT_TERMS, TAG_TERMS = 100, 50
 CONTENT_CLUSTERS, BEHAVIOUR_CLUSTERS = 3, 5
 EPS = 0.5
+PARALLEL_FITS = 5
 SHOWN_TERMS, SHOWN_MEMBERS = 10, 5
 
 
@@ -93,11 +95,10 @@ def centred(features: DataFrame) -> DataFrame:
 
 
 def prepared(features: DataFrame) -> DataFrame:
-    """Features with a vector column, spread by id and kept for the rounds of a fit."""
-    return (
-        features.repartition("id").sortWithinPartitions("id")
-        .withColumn("features", array_to_vector("v")).persist()
-    )
+    """Features with a vector column, spread and sorted by id so that a fit can be repeated. Stored
+    once, so that the stages of every start read few, well filled partitions."""
+    spread = features.repartition("id").sortWithinPartitions("id")
+    return cut_lineage(spread.withColumn("features", array_to_vector("v"))).persist()
 
 
 def project(features: DataFrame, k: int = 2) -> DataFrame:
@@ -117,7 +118,10 @@ def project(features: DataFrame, k: int = 2) -> DataFrame:
 def kmeans(features: DataFrame, k: int, restarts: int = 10, seed: int = 42) -> DataFrame:
     """(id, cluster): the best of several starts, clusters numbered by size, then least id."""
     data = prepared(features)
-    models = [KMeans(k=k, seed=seed + i, maxIter=50).fit(data) for i in range(restarts)]
+    data.count()
+    # The starts are independent jobs of many short stages, so they run side by side.
+    with ThreadPool(min(restarts, PARALLEL_FITS)) as pool:
+        models = pool.map(lambda i: KMeans(k=k, seed=seed + i, maxIter=50).fit(data), range(restarts))
     best = min(models, key=lambda m: m.summary.trainingCost)
     labels = cut_lineage(best.transform(data).select("id", "prediction"))
     data.unpersist()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -13,6 +14,7 @@ from postflock.sources import analyses
 
 # Page sizes.
 PAGE, TRENDS, SUGGESTIONS = 10, 10, 5
+MAP_CHUNK = 10_000
 
 
 def dashboard(
@@ -51,11 +53,16 @@ def tag_report(posts: DataFrame, post_tags: DataFrame, as_of: Column) -> dict[st
     return {"co_occurrences": cooccurrence(posts), "trending": tg.trending(post_tags, as_of)}
 
 
-def cooccurrence_maps(pairs: DataFrame) -> DataFrame:
-    """(tag, others): the co-occurrence list of each tag as a map, for small tag tables. Tags with
-    very many partners belong in the long form this is made from."""
+def cooccurrence_maps(pairs: DataFrame, chunk: int = MAP_CHUNK) -> DataFrame:
+    """(tag, part, others): the co-occurrence list of each tag as a map. A tag with more than
+    ``chunk`` partners has several maps, split by hash, that together hold all of them."""
+    sizes = pairs.groupBy("tag").agg(F.count(F.lit(1)).alias("_n"))
+    part = F.pmod(F.xxhash64("other"), F.ceil(F.col("_n") / chunk)).alias("part")
     entries = F.array_sort(F.collect_list(F.struct(F.col("other").alias("key"), F.col("n").alias("value"))))
-    return pairs.groupBy("tag").agg(F.map_from_entries(entries).alias("others"))
+    return (
+        pairs.join(sizes, "tag").select("tag", part, "other", "n").groupBy("tag", "part")
+        .agg(F.map_from_entries(entries).alias("others"))
+    )
 
 
 @dataclass(frozen=True)
@@ -79,7 +86,6 @@ def clustering_analysis(
         quality = cl.silhouette(run.features, flat)
     full = cl.summary(run.assigned, posts, post_tags, cl.text_weights(posts))
     means = profiles(posts).select("user_id", "avg_sentiment", "posts")
-    from datetime import datetime
     stamp = stamp or datetime.now().strftime(analyses.STAMP)
     document = analyses.result_document(run, full, users, quality, stamp)
     rows = analyses.feature_rows(run, posts, post_tags, users, means)

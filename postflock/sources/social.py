@@ -88,7 +88,9 @@ class SocialTables:
         times = self.table("events").select(
             F.col("event_id").alias("post_id"), F.col("ts").cast("timestamp").alias("ts")
         )
-        return docs.join(times, "post_id")
+        # Spread by the join key before the join: the texts would be shuffled by it anyway, and a
+        # small or badly split file is worked on by all tasks.
+        return docs.repartition("post_id").join(times, "post_id")
 
     @cached_property
     def scored_text_posts(self) -> DataFrame:
