@@ -22,6 +22,8 @@ TEXT_TERMS, TAG_TERMS = 100, 50
 CONTENT_CLUSTERS, BEHAVIOUR_CLUSTERS = 3, 5
 EPS = 0.5
 PARALLEL_FITS = 5
+# Projected axes for the neighbour search; the first three form its grid, all of them prune.
+GRID_AXES = 6
 SHOWN_TERMS, SHOWN_MEMBERS = 10, 5
 
 
@@ -151,11 +153,11 @@ def behaviour_clusters(
 ) -> Behaviour:
     features = cut_lineage(scaled(behaviour_features(posts)))
     count = features.count()
-    axes = project(features)
+    axes = project(features, GRID_AXES if method == "dbscan" else 2)
     if method == "kmeans":
         labels = kmeans(features, min(n_clusters, count), restarts)
     elif method == "dbscan":
-        labels = dbscan(features.join(axes, "id"), eps, default_min_samples(count))
+        labels = dbscan(features.join(axes, "id"), eps, default_min_samples(count), axes=3)
     else:
         raise ValueError(f"unknown method: {method}")
     assigned = labels.join(axes, "id").select(

@@ -15,7 +15,8 @@ def read_raw_posts(spark: SparkSession, path: str) -> DataFrame:
     """(row_no, sentiment, raw_id, time_text, username, text, short).
 
     Short rows come padded with NULL, so a row's width is the position of its last non-NULL
-    field. Username and text stand last but one and last. Row numbers follow file and position.
+    field. Username and text stand last but one and last. Row numbers rise with the position in a
+    file; files come in the order in which Spark packs them, which their sizes and names fix.
     """
     lines = (
         spark.read.schema(RAW_POSTS).option("encoding", "ISO-8859-1").option("header", True)
