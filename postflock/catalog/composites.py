@@ -44,7 +44,7 @@ TAGS = f"""
 WITH recent AS ({RECENT}), hot AS ({_HOT}),
 c AS (SELECT user_id, other AS tag, sum(2 * n)::BIGINT AS s FROM recent r JOIN cooc USING (tag)
   WHERE NOT EXISTS (SELECT 1 FROM recent x WHERE x.user_id = r.user_id AND x.tag = other) GROUP BY 1, 2),
-h AS (SELECT user_id, tag, n AS s FROM (SELECT DISTINCT user_id FROM posts), hot)
+h AS (SELECT user_id, tag, n AS s FROM users, hot)
 SELECT user_id, tag, sum(s)::BIGINT AS score,
   row_number() OVER (PARTITION BY user_id ORDER BY sum(s) DESC, tag) AS rank
 FROM (SELECT * FROM c UNION ALL SELECT * FROM h) GROUP BY 1, 2 QUALIFY rank <= 10"""
@@ -52,7 +52,7 @@ FROM (SELECT * FROM c UNION ALL SELECT * FROM h) GROUP BY 1, 2 QUALIFY rank <= 1
 
 @entry("r8_tags", TAGS)
 def recommended_tags(t):
-    return tg.recommended_tags(t.posts, t.post_tags, t.as_of)
+    return tg.recommended_tags(t.users, t.posts, t.post_tags, t.as_of)
 
 
 @entry("r7_api_bundle", f"""
@@ -68,7 +68,7 @@ def api_bundle(t):
     from postflock.operators.ranking import top_k
 
     placed = top_k(posts, ["user_id"], [F.col("user_rank"), F.col("post_rank")], 25)
-    tags = tg.recommended_tags(t.posts, t.post_tags, t.as_of).select(
+    tags = tg.recommended_tags(t.users, t.posts, t.post_tags, t.as_of).select(
         "user_id", F.lit("tag").alias("kind"), F.col("tag").alias("value"), "rank"
     )
     return placed.select("user_id", "kind", "value", "rank").unionByName(tags)

@@ -45,8 +45,9 @@ def score_texts(posts: DataFrame, lexicon: DataFrame, key: str = "post_id") -> D
     at the first join. The lexicon's size is not known here, so Spark chooses the join.
     """
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TOKEN), 0)
+    # Outer, so that no filter on the array is added below and the pattern is matched once.
     spread = (
-        posts.select(key, words.alias("_w")).select(key, "_w", F.posexplode("_w").alias("_p", "word"))
+        posts.select(key, words.alias("_w")).select(key, "_w", F.posexplode_outer("_w").alias("_p", "word"))
         .select(
             key, "word",
             F.get("_w", F.col("_p") - 1).alias("_one"), F.get("_w", F.col("_p") - 2).alias("_two"),

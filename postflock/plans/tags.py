@@ -114,11 +114,11 @@ def merged_scores(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def recommended_tags(
-    posts: DataFrame, post_tags: DataFrame, as_of: Column, limit: int = 10, trend_limit: int = 10,
-    plain_rows: int = PLAIN_ROWS,
+    users: DataFrame, posts: DataFrame, post_tags: DataFrame, as_of: Column, limit: int = 10,
+    trend_limit: int = 10, plain_rows: int = PLAIN_ROWS,
 ) -> DataFrame:
     """(user_id, tag, score, rank): twice the co-occurrence with the user's recent tags, those left
-    out, plus the 24 h count of trending tags."""
+    out, plus the 24 h count of trending tags. Users without posts get the trending tags."""
     recent = recent_tags(post_tags, posts)
     wants = recent.select(F.col("user_id").alias("me"), F.col("tag").alias("key"))
     together = cooccurrence(posts).select(
@@ -136,7 +136,7 @@ def recommended_tags(
     )
     # At most `trend_limit` trending tags, so they travel as one array per user.
     offer = hot.agg(F.collect_list(F.struct("item", "count"))).scalar()
-    every = posts.select(F.col("user_id").alias("me")).distinct().select("me", F.inline(offer))
+    every = users.select(F.col("user_id").alias("me")).select("me", F.inline(offer))
     scored = every.join(hot_sum, ["me", "item"], "left").select(
         "me", "item", (F.col("count") + F.coalesce("_sum", F.lit(0))).alias("score")
     )

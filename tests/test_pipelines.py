@@ -173,7 +173,7 @@ def test_bounded_paths_equal_plain_ones(spark):
     for query in (
         lambda n: rc.shared_tag_users(t.post_tags, 5, plain_rows=n),
         lambda n: rc.similar_users(t.post_tags, 3, plain_rows=n),
-        lambda n: tg.recommended_tags(t.posts, t.post_tags, t.as_of, plain_rows=n),
+        lambda n: tg.recommended_tags(t.users, t.posts, t.post_tags, t.as_of, plain_rows=n),
         lambda n: gr.friends_of_friends(t.follows, 4, plain_rows=n),
     ):
         assert sorted(map(tuple, query(0).collect())) == sorted(map(tuple, query(10**9).collect()))
