@@ -1,7 +1,8 @@
 """TF-IDF and cosine in long form: rows (doc, term, w) instead of matrices.
 
-idf = ln((1 + n) / (1 + df)) + 1, weights scaled to length 1 per document. Norms are a partial
-aggregate joined back, not a window, so a document holding a large share of the text is no hot spot.
+idf = ln((1 + n) / (1 + df)) + 1, weights scaled to length 1 per document. A document is a single
+text or, where many texts make one, its vocabulary is cut by ``max_features``; either way its group
+of weights is bounded.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postflock.functions.stopwords import ENGLISH
 from postflock.functions import text as tx
+from postflock.session import cut_lineage
 
 
 def term_counts(
@@ -45,8 +47,8 @@ def weigh(counts: DataFrame, terms: DataFrame, n_docs: Column) -> DataFrame:
     raw = counts.join(terms.select("term", "df"), "term").select(
         "doc", "term", (F.col("tf") * idf).alias("w")
     )
-    norms = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
+    return raw.select("doc", "term", (F.col("w") / norm).alias("w"))
 
 
 def tfidf(
@@ -70,6 +72,8 @@ def similar_pairs(weights: DataFrame, threshold: float = 0.3) -> DataFrame:
     vector is cut where the length of the rest falls below the threshold. Two vectors above it
     must share a term that both kept, so the frequent terms make no candidates.
     """
+    # Used five times below and small next to the texts behind it.
+    weights = cut_lineage(weights)
     df = weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # Vectors are bounded by max_features, so the window group is bounded too.
     rest = (

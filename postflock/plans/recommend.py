@@ -53,20 +53,24 @@ def similar_users(
     found = top_by_jaccard(sets, limit, plain_rows=plain_rows)
     if pad_with is None:
         return found
-    # A list lacks at most `limit` names and may exclude itself and its own entries, so the first
-    # 2 * limit + 1 ids are enough. They travel as one array.
+    # A list lacks at most `limit` names and leaves out oneself and its own entries, so the first
+    # 2 * limit + 1 ids are enough. They travel as one array and each list is filled in its row.
     first = pad_with.select("user_id").orderBy("user_id").limit(2 * limit + 1)
     offer = first.agg(F.array_sort(F.collect_list("user_id"))).scalar()
-    have = found.groupBy("me").agg(F.count(F.lit(1)).alias("_n"))
-    short = (
-        pad_with.select(F.col("user_id").alias("me")).join(have, "me", "left")
-        .filter(F.coalesce("_n", F.lit(0)) < limit).withColumn("_offer", offer)
-        .select("me", F.explode("_offer").alias("item")).filter(F.col("me") != F.col("item"))
-        .join(found.select("me", "item"), ["me", "item"], "left_anti")
-        .withColumn("score", F.lit(0.0))
+    entries = F.array_sort(F.collect_list(F.struct("rank", "item", "score")))
+    lists = found.groupBy("me").agg(entries.alias("_e"))
+    have = F.coalesce("_e", F.array().cast("array<struct<rank:bigint,item:bigint,score:double>>"))
+    named = F.transform("_have", lambda e: e["item"])
+    fill = F.filter("_offer", lambda i: (i != F.col("me")) & ~F.array_contains("_named", i))
+    whole = F.concat(
+        F.transform("_have", lambda e: F.struct(e["item"].alias("item"), e["score"].alias("score"))),
+        F.transform("_fill", lambda i: F.struct(i.alias("item"), F.lit(0.0).alias("score"))),
     )
-    return top_k(
-        found.drop("rank").unionByName(short), ["me"], [F.desc("score"), F.col("item")], limit
+    return (
+        pad_with.select(F.col("user_id").alias("me")).join(lists, "me", "left")
+        .withColumn("_offer", offer).withColumn("_have", have).withColumn("_named", named)
+        .withColumn("_fill", fill).select("me", F.posexplode(F.slice(whole, 1, limit)).alias("_p", "_x"))
+        .select("me", "_x.item", "_x.score", (F.col("_p") + 1).cast("long").alias("rank"))
     )
 
 
