@@ -4,7 +4,7 @@ can be checked in SQL; fitted clusters are in ``learned``."""
 from pyspark.sql import functions as F
 
 from postflock.catalog.registry import entry, joined, q6, r6
-from postflock.catalog.weights import TEXT100, tfidf_sql
+from postflock.catalog.weights import tfidf_sql
 from postflock.operators.cooccur import cooccurrence
 from postflock.plans import cluster as cl, ingest as ig, recommend as rc, stats as st, tags as tg
 

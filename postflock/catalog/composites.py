@@ -6,8 +6,8 @@ from postflock.catalog.aggregates import FEATURES, LABELS
 from postflock.catalog.joins import SIMILAR
 from postflock.catalog.ranks import COLLAB, FILL, RECENT, merged_sql
 from postflock.catalog.registry import entry, joined, lng, q6, qstamp, r6, stamp
-from postflock.catalog.weights import CANDIDATES, USERS, tfidf_sql
-from postflock.plans import graph as gr, ingest as ig, recommend as rc, report as rp, stats as st, tags as tg
+from postflock.catalog.weights import CANDIDATES, tfidf_sql
+from postflock.plans import ingest as ig, recommend as rc, report as rp, stats as st, tags as tg
 
 _POSTS = "SELECT post_id AS doc, text FROM posts"
 _CONTENT = f"""

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from postflock.catalog.joins import FOF, SIMILAR
 from postflock.catalog.aggregates import EXCLUDED, FEATURES, SHARED
-from postflock.catalog.registry import entry, lng, q6, qstamp, r6, stamp
+from postflock.catalog.registry import entry, q6, qstamp, r6, stamp
 from postflock.catalog.weights import CANDIDATES
 from postflock.operators.ranking import first_wins
 from postflock.plans import graph as gr, ingest as ig, recommend as rc, stats as st, tags as tg

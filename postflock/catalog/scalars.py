@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from postflock.catalog.aggregates import FEATURES, fixed_clusters
+from postflock.catalog.aggregates import FEATURES
 from postflock.catalog.registry import WORD, clean_sql, entry, joined, q6, qstamp, r6, stamp
 from postflock.functions import text as tx, time as tm, trend as tr
 from postflock.plans import ingest as ig, stats as st, tags as tg

@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from postflock.catalog.registry import entry, joined, q6, qstamp, r6, stamp
+from postflock.catalog.registry import entry, joined, q6, r6
 from postflock.operators.lexicon import default_lexicon
-from postflock.plans import cluster as cl, ingest as ig, report as rp, stats as st
+from postflock.plans import ingest as ig, report as rp
 from postflock.session import work_dir
 from postflock.sources import analyses, raw_csv, tables
 

@@ -1,6 +1,5 @@
 """Streaming jobs run once over the tables as files, then read back."""
 
-from pyspark.sql import functions as F
 
 from postflock.catalog.registry import entry, qstamp, stamp
 from postflock.operators.lexicon import default_lexicon
