@@ -28,7 +28,7 @@ WINDOW_TOKENS = 32 * SEQUENCE_TOKENS
 WINDOWS_PER_RANGE = 4096
 END_ID = 1
 
-PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
+PIECES = ("doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, source string")
 
 
@@ -90,7 +90,7 @@ def _cutter(vocabulary: str, sequence_tokens: int):
                     out.append((doc, start, length, crc, tokens, sequence, offset, source))
                     start += length
             names = [field.split()[0] for field in PIECES.split(", ")]
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=names)
     return cut
 
 
@@ -103,5 +103,6 @@ def pack(
     coded = encode(docs, vocabulary)
     placed = schedule(coded.select("row_id", "source", "tokens"), window_tokens, shares)
     rows = coded.join(placed.select("row_id", "position"), "row_id").select(
-        "doc_id", "source", "tokens", "ids", "position")
-    return rows.mapInPandas(_cutter(vocabulary, sequence_tokens), PIECES)
+        F.col("doc_id").cast("string").alias("doc_id"), "source", "tokens", "ids", "position")
+    pieces = rows.mapInPandas(_cutter(vocabulary, sequence_tokens), PIECES)
+    return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))

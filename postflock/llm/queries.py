@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postflock.llm import lengths, packing, secrets
+from postflock.llm import lengths, packing, secrets, winnowing
 from postflock.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,11 @@ def query(name: str):
     return keep
 
 
+@query("op1_winnowing")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return winnowing.digest(read_table(spark, folder, "documents"))
+
+
 @query("op4_mixture_packing")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read_table(spark, folder, "documents"))
