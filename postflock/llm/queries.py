@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postflock.llm import lengths, packing, secrets, winnowing
+from postflock.llm import lengths, packing, secrets, toxicity, winnowing
 from postflock.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return lengths.suffix_sums(lengths.histogram(read_table(spark, folder, "documents")))
 
 
+@query("op6_toxicity")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.digest(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 @query("op10_secret_scan")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(read_table(spark, folder, "documents"))
