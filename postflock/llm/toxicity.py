@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,9 +27,9 @@ HELD_OUT = 2
 LEXICON_FOLDS = (0, 1)
 LABELLED_ROWS = 20_000
 LEXICON_TERMS = 5_000
-LEAST_WEIGHT = 2.0
+LEAST_WEIGHT = 1.5
 LEAST_DOCUMENTS = 3
-STEM_LETTERS = (4, 5, 6)
+STEM_LETTERS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 EDIT_FACTOR = 0.5
 QUOTED_FACTOR = 0.4
@@ -149,11 +150,13 @@ class Matcher:
 
 
 def reduced(terms: list[Term]) -> list[Term]:
-    """Without stems that one word stands for, and without words and longer stems that a stem covers."""
+    """Without stems for which one word or one longer stem stands as well, and without words and longer stems
+    that a stem covers."""
     words = {t.text: t.weight for t in terms if not t.stem}
     stems: dict[str, float] = {}
     for t in sorted((t for t in terms if t.stem), key=lambda t: (len(t.text), t.text)):
-        if any(w.startswith(t.text) and v >= t.weight - 0.1 for w, v in words.items()):
+        if any(o.text != t.text and o.text.startswith(t.text) and o.weight >= t.weight - 0.1 or
+               o.text == t.text and not o.stem and o.weight >= t.weight - 0.1 for o in terms):
             continue
         if not any(t.text.startswith(s) and v >= t.weight - 0.5 for s, v in stems.items()):
             stems[t.text] = t.weight
@@ -189,8 +192,8 @@ class Scorer:
             self._known[word] = found
         return found
 
-    def features(self, text: str) -> tuple[float, float, float]:
-        """(weight of the strongest term, log of 1 + all weights, strongest misspelled term)."""
+    def features(self, text: str) -> tuple[float, float, float, float]:
+        """(strongest term, log of 1 + all weights, the same per 100 words, strongest misspelled term)."""
         low = text.lower()
         known = self._known
         words = WORD.findall(low)
@@ -210,7 +213,7 @@ class Scorer:
                     factor = quotation(low, m.start(), m.end())
                     most, near = max(most, exact * factor), max(near, edited * factor)
                     total += (exact + edited) * factor
-        return most, float(np.log1p(total)), near
+        return most, math.log1p(total), math.log1p(100 * total / max(100, len(words))), near
 
     def score(self, text: str) -> float:
         z = self._curve[0] + float(np.dot(self._curve[1:], self.features(text)))
@@ -266,10 +269,10 @@ def learn_lexicon(sample: DataFrame) -> list[Term]:
     return reduced([Term(r["term"], round(r["weight"], 6), r["stem"]) for r in best.collect()])
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> list[float]:
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> list[float]:
     """Logistic regression by Newton's method, intercept first and free of the ridge."""
     if not y.size:
-        return [-2.0, 0.0, 0.0, 0.0]
+        return [-2.0, 0.0, 0.0, 0.0, 0.0]
     x = np.column_stack([np.ones(len(x)), x])
     penalty = np.diag([1e-3, *[ridge] * (x.shape[1] - 1)])
     w = np.zeros(x.shape[1])
@@ -283,7 +286,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
-    """Learns from ``labels(doc_id, toxic)`` and the texts they name. Only features of the sample (three
+    """Learns from ``labels(doc_id, toxic)`` and the texts they name. Only features of the sample (four
     numbers a row, at most ``rows`` rows) and the lexicon come to the driver. Without labels of both kinds
     the lexicon is empty and every text gets the same low score."""
     bound_batches(docs.sparkSession)
@@ -295,7 +298,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Mode
         return batch.map(Scorer(terms).features)
 
     rest = sample.filter(~F.col("fold").isin(*LEXICON_FOLDS)).select(features("text").alias("x"), "toxic").collect()
-    x = np.array([r["x"] for r in rest]).reshape(-1, 3)
+    x = np.array([r["x"] for r in rest]).reshape(-1, 4)
     return Model(terms, fit_curve(x, np.array([float(r["toxic"] > 0) for r in rest])))
 
 
