@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postflock.llm import lengths, packing, secrets, toxicity, winnowing
+from postflock.llm import jaccard, lengths, packing, secrets, toxicity, winnowing
 from postflock.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return winnowing.digest(read_table(spark, folder, "documents"))
 
 
+@query("op3_ngram_jaccard")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.groups(read_table(spark, folder, "documents"))
+
+
 @query("op4_mixture_packing")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read_table(spark, folder, "documents"))

@@ -8,7 +8,6 @@ at least ``window + gram - 1`` characters share a chosen hash, at positions that
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -17,44 +16,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postflock.llm.common import bound_batches, texts
+from postflock.llm.rolling import mixed, prefix_sums, window_hashes
 
 GRAM = 32
 WINDOW = 64
-BASE = 0x9E3779B97F4A7C15
 
 Marks = tuple[np.ndarray, np.ndarray]
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(size: int, base: int) -> np.ndarray:
-    powers = np.full(size, base, dtype=np.uint64)
-    powers[0] = 1
-    return np.cumprod(powers, dtype=np.uint64)
-
-
-def _table(size: int, base: int) -> np.ndarray:
-    return _powers(max(1 << 12, 1 << size.bit_length()), base)[:size]
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    """Spreads a polynomial's high bits over all bits."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def gram_hashes(text: str, gram: int = GRAM) -> np.ndarray:
-    """64-bit hashes of all k-grams; of the whole text, if it is shorter than one; none for an empty text.
-    With sums S[i] of c[j] * BASE**j the gram at i is (S[i+k] - S[i]) / BASE**i, modulo 2**64."""
+    """64-bit hashes of all k-grams; of the whole text, if it is shorter than one; none for an empty text."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    n = points.size
-    if n == 0:
+    if points.size == 0:
         return points
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((points + np.uint64(1)) * _table(n, BASE), out=sums[1:])
-    k = min(gram, n)
-    grams = (sums[k:] - sums[:-k]) * _table(n - k + 1, pow(BASE, -1, 1 << 64))
-    return _mixed(grams + np.uint64(k))
+    k = min(gram, points.size)
+    return mixed(window_hashes(prefix_sums(points + np.uint64(1)), k) + np.uint64(k))
 
 
 def winnow(hashes: np.ndarray, window: int = WINDOW) -> Marks:
