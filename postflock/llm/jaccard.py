@@ -9,9 +9,9 @@ posts its ``differing + 1`` first groups, in one order for all, the largest grou
 therefore meet in a bucket; unrelated sets hardly ever do, for a whole group must agree. Sets near the upper
 end of a band also post in the next.
 
-*What to compare.* Buckets are first joined along stars: each set is verified against one other that it meets
-most often, which connects groups of copies in as many checks as there are copies. What is left are buckets
-with sets of several components. There each set is a point, its counts of tokens per coordinate, in an R-tree
+*What to compare.* Buckets are first joined along stars, STAR_TURNS times: each set is verified against one
+other, of another component, that it meets most often. That connects groups of copies in as many checks as
+there are copies. What is left are buckets with sets of several components. There each set is a point, its counts of tokens per coordinate, in an R-tree
 whose boxes bound the overlap by the sum of the coordinates' minima. Pairs of different components that
 survive the bound are verified on the full sets. No pair that can link is left out.
 """
@@ -33,6 +33,7 @@ LEAF = 32
 SMALL = 64
 GROUPS_PER_SIZE = 0.64
 HOT = 256
+STAR_TURNS = 3
 SALTS = 16
 SIZE_CAP = 6
 FLUSH = 1_500_000
@@ -210,20 +211,18 @@ class CountTree:
         return self.order[at]
 
 
-def _surviving(rows: pd.DataFrame) -> list[tuple[int, int]]:
+def _surviving(rows: dict[str, np.ndarray]) -> list[tuple[int, int]]:
     """Pairs of different components in one bucket, one from each side, that the tree does not rule out.
     Within a bucket that is compared with itself both sides are all rows."""
-    left, right = rows[rows.left], rows[rows.right]
-    if left.empty or right.empty or (rows.component == rows.component.iloc[0]).all():
+    left, right = np.flatnonzero(rows["left"]), np.flatnonzero(rows["right"])
+    part, key, size, counts = rows["component"], rows["key"], rows["size"], rows["counts"]
+    if not left.size or not right.size or (part == part[0]).all():
         return []
-    points, sizes = np.stack(right.counts.to_numpy()), right["size"].to_numpy()
-    keys, parts = right.key.to_numpy(), right.component.to_numpy()
-    tree = CountTree(points, sizes)
+    tree = CountTree(counts[right], size[right])
     found = []
-    for key, part, query, size in zip(left.key, left.component, left.counts, left["size"]):
-        at = tree.search(query, size)
-        at = at[parts[at] != part]
-        found.extend((min(key, other), max(key, other)) for other in keys[at].tolist())
+    for i in left:
+        at = right[tree.search(counts[i], size[i])]
+        found.extend((min(key[i], other), max(key[i], other)) for other in key[at[part[at] != part[i]]].tolist())
     return found
 
 
@@ -232,7 +231,15 @@ def _tree_join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rest: pd.DataFrame | None = None
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        found = {p for _, bucket in rows.groupby(["name", "block"], sort=False) for p in _surviving(bucket)}
+        found: set[tuple[int, int]] = set()
+        if len(rows):
+            columns = {c: rows[c].to_numpy() for c in ("key", "component", "size", "left", "right")}
+            columns["counts"] = np.stack(rows["counts"].to_numpy())
+            name, block = rows["name"].to_numpy(), rows["block"].to_numpy()
+            change = (name[1:] != name[:-1]) | (block[1:] != block[:-1])
+            edges = np.concatenate(([0], np.flatnonzero(change) + 1, [len(rows)]))
+            for low, high in zip(edges[:-1], edges[1:]):
+                found.update(_surviving({c: v[low:high] for c, v in columns.items()}))
         return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
     for rows in batches:
@@ -247,38 +254,62 @@ def _tree_join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _buckets(docs: DataFrame, words: int) -> DataFrame:
-    """(name, salt, key, center) of all buckets that hold two sets or more; the center is their least key.
-    Copies post once per task. A name that many sets of one task share is dealt by salt, and its salted
-    buckets' centers also stand in the bucket of salt 0, so that no task gets a whole hot bucket."""
+    """(name, salt, key) of all buckets that hold two sets or more. Copies post once per task. A name that many
+    sets of one task share is dealt by salt, and the least key of each salt also stands in the bucket of salt
+    0, so that no task gets a whole hot bucket."""
     rows = texts(docs).select("text").mapInPandas(_post(words), "name long, salt int, key long")
     bucket = Window.partitionBy("name", "salt")
     return (
-        rows.withColumn("center", F.min("key").over(bucket)).withColumn("_far", F.max("key").over(bucket))
-        .filter(F.col("center") != F.col("_far")).select("name", "salt", "key", "center").distinct()
+        rows.withColumn("_low", F.min("key").over(bucket)).withColumn("_high", F.max("key").over(bucket))
+        .filter(F.col("_low") != F.col("_high")).select("name", "salt", "key").distinct()
     )
 
 
-def _labels(edges: DataFrame) -> DataFrame:
-    """(key, label) of all keys that have a link."""
-    both = edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    both = both.union(both.select("dst", "src")).distinct()
-    return components(both.select(F.col("src").alias("id")).distinct(), both).select(F.col("id").alias("key"), "label")
+def _meeting(rows: DataFrame, turn: int) -> DataFrame:
+    """One pair (a, b) per key: of the keys of another component that stand for their component in the key's
+    buckets, the one it meets most often. Which key stands for a component changes with ``turn``."""
+    face = F.struct("component", F.xxhash64("key", F.lit(turn)).alias("draw"), "key")
+    faces = rows.groupBy("name", "salt").agg(F.min(face).alias("_low"), F.max(face).alias("_high")).filter(
+        F.col("_low.component") != F.col("_high.component"))
+    other = F.when(F.col("component") != F.col("_low.component"), F.col("_low.key")).otherwise(F.col("_high.key"))
+    return (
+        rows.join(faces, ["name", "salt"]).select("key", other.alias("other"))
+        .groupBy("key", "other").count()
+        .groupBy("key").agg(F.max(F.struct("count", "other")).alias("best"))
+        .select(F.least("key", "best.other").alias("a"), F.greatest("key", "best.other").alias("b")).distinct()
+    )
+
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (key, component) after components that a link (a, b) connects became one. Only one edge per two
+    components goes into the search, however many of their keys are linked."""
+    one = labels.select(F.col("key").alias("a"), F.col("component").alias("src"))
+    two = labels.select(F.col("key").alias("b"), F.col("component").alias("dst"))
+    edges = links.join(one, "a").join(two, "b").select("src", "dst").filter("src != dst").distinct()
+    edges = stored(edges.union(edges.select("dst", "src")).distinct(), "jaccard-edges")
+    found = components(edges.select(F.col("src").alias("id")).distinct(), edges)
+    after = labels.join(found, F.col("component") == F.col("id"), "left")
+    return stored(after.select("key", F.coalesce("label", "component").alias("component")), "jaccard-labels")
 
-def _remaining(buckets: DataFrame, labels: DataFrame, contents: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of different components, from the buckets that still hold several."""
-    rows = buckets.select("name", "salt", "key").join(labels, "key", "left").withColumn(
-        "component", F.coalesce("label", "key")).drop("label")
+
+def _remaining(rows: DataFrame, contents: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of different components, from the buckets that still hold several. Of buckets
+    with the same members one is enough."""
+    members = [F.bit_xor(F.xxhash64("key", F.lit(seed))).alias(f"_members{seed}") for seed in (1, 2)]
     open_names = rows.groupBy("name").agg(
-        F.min("component").alias("_low"), F.max("component").alias("_high"), F.max("salt").alias("_salts")
-    ).filter(F.col("_low") != F.col("_high")).select("name", (F.col("_salts") > 0).alias("hot"))
+        F.min("component").alias("_low"), F.max("component").alias("_high"), F.max("salt").alias("_salts"),
+        F.count("*").alias("_rows"), *members,
+    ).filter(F.col("_low") != F.col("_high")).groupBy("_rows", "_members1", "_members2").agg(
+        F.min("name").alias("name"), F.max(F.col("_salts") > 0).alias("hot"))
     every = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS))).otherwise(F.array(F.lit(0)))
     rows = (
-        rows.join(open_names, "name").withColumn("_other", F.explode(every))
+        rows.join(open_names.select("name", "hot"), "name").withColumn("_other", F.explode(every))
         .select(
             "name", "key", "component",
-            (F.least("salt", "_other") * (SALTS + 1) + F.greatest("salt", "_other")).alias("block"),
-            (F.col("salt") <= F.col("_other")).alias("left"), (F.col("salt") >= F.col("_other")).alias("right"))
+            F.when(F.col("hot"), F.least("salt", "_other") * (SALTS + 1) + F.greatest("salt", "_other"))
+            .otherwise(0).alias("block"),
+            (~F.col("hot") | (F.col("salt") <= F.col("_other"))).alias("left"),
+            (~F.col("hot") | (F.col("salt") >= F.col("_other"))).alias("right"))
         .join(contents.select("key", "size", "counts"), "key")
         .repartition("name", "block").sortWithinPartitions("name", "block")
     )
@@ -295,17 +326,17 @@ def groups(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     members = stored(_sets(docs, words), "jaccard-members")
     buckets = stored(_buckets(docs, words), "jaccard-buckets")
     contents = stored(_contents(docs, members, buckets.select("key").distinct(), words), "jaccard-contents")
-    star = (
-        buckets.filter(F.col("key") != F.col("center")).groupBy("key", "center").count()
-        .groupBy("key").agg(F.max(F.struct("count", "center")).alias("best"))
-        .select(F.col("best.center").alias("a"), F.col("key").alias("b"))
-    )
-    star = stored(star, "jaccard-star")
-    edges = stored(_verified(star, contents), "jaccard-edges")
-    rest = _remaining(buckets, _labels(edges), contents).join(star, ["a", "b"], "left_anti")
-    edges = stored(edges.union(_verified(rest, contents)), "jaccard-links")
-    filled = members.filter("n_shingles > 0").join(_labels(edges), "key", "left").select(
-        "doc_id", "n_shingles", F.coalesce("label", "key").alias("_component"))
+    labels = buckets.select("key").distinct().withColumn("component", F.col("key"))
+    tested = None
+    for turn in range(STAR_TURNS):
+        pairs = _meeting(buckets.join(labels, "key"), turn)
+        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "jaccard-star")
+        tested = pairs if tested is None else tested.union(pairs)
+        labels = _merged(labels, _verified(pairs, contents))
+    rest = _remaining(buckets.join(labels, "key"), contents).join(tested, ["a", "b"], "left_anti")
+    labels = _merged(labels, _verified(rest, contents))
+    filled = members.filter("n_shingles > 0").join(labels, "key", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component", "key").alias("_component"))
     least = filled.groupBy("_component").agg(F.min("doc_id").alias("component_id"))
     empty = members.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return filled.join(least, "_component").select("doc_id", "n_shingles", "component_id").union(empty)

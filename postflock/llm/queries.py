@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postflock.llm import jaccard, lengths, packing, secrets, toxicity, winnowing
+from postflock.llm import hnsw, jaccard, lengths, packing, secrets, toxicity, winnowing
 from postflock.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return winnowing.digest(read_table(spark, folder, "documents"))
 
 
+@query("op2_hnsw")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return hnsw.neighbours(read_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query("op3_ngram_jaccard")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.groups(read_table(spark, folder, "documents"))
