@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -31,6 +32,7 @@ LEAST_WEIGHT = 1.5
 LEAST_DOCUMENTS = 3
 STEM_LETTERS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
+COMMON_SHARE = 0.05
 EDIT_FACTOR = 0.5
 QUOTED_FACTOR = 0.4
 REPORTED_FACTOR = 0.7
@@ -48,14 +50,19 @@ PAIRED_MARKS = ("“”", "«»", "„“", "‘’")
 
 @dataclass(frozen=True)
 class Term:
+    """``share``: the part of the toxic documents learned from that has the term."""
+
     text: str
     weight: float
     stem: bool = False
+    share: float = 1.0
 
     @property
     def edits(self) -> int:
-        """Edits at which a whole word still counts; stems must stand as they are."""
-        return 0 if self.stem or len(self.text) < 5 else 1 if len(self.text) < 8 else 2
+        """Edits at which a whole word still counts; stems and rare words must stand as they are."""
+        if self.stem or self.share < COMMON_SHARE or len(self.text) < 5:
+            return 0
+        return 1 if len(self.text) < 8 else 2
 
 
 @dataclass
@@ -153,6 +160,7 @@ def reduced(terms: list[Term]) -> list[Term]:
     """Without stems for which one word or one longer stem stands as well, and without words and longer stems
     that a stem covers."""
     words = {t.text: t.weight for t in terms if not t.stem}
+    share = {(t.text, t.stem): t.share for t in terms}
     stems: dict[str, float] = {}
     for t in sorted((t for t in terms if t.stem), key=lambda t: (len(t.text), t.text)):
         if any(o.text != t.text and o.text.startswith(t.text) and o.weight >= t.weight - 0.1 or
@@ -160,9 +168,9 @@ def reduced(terms: list[Term]) -> list[Term]:
             continue
         if not any(t.text.startswith(s) and v >= t.weight - 0.5 for s, v in stems.items()):
             stems[t.text] = t.weight
-    kept = [Term(w, v) for w, v in words.items()
+    kept = [Term(w, v, False, share[w, False]) for w, v in words.items()
             if not any(w.startswith(s) and x >= v - 0.5 for s, x in stems.items())]
-    return sorted(kept + [Term(s, v, True) for s, v in stems.items()], key=lambda t: (t.text, t.stem))
+    return sorted(kept + [Term(s, v, True, share[s, True]) for s, v in stems.items()], key=lambda t: (t.text, t.stem))
 
 
 def quotation(text: str, start: int, end: int) -> float:
@@ -220,6 +228,12 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+@functools.lru_cache(maxsize=2)
+def _scorer(terms: tuple[Term, ...], curve: tuple[float, ...]) -> Scorer:
+    """One per Python worker: its known words serve all tasks that the worker runs."""
+    return Scorer(list(terms), list(curve))
+
+
 @dataclass(frozen=True)
 class Model:
     terms: list[Term]
@@ -266,7 +280,7 @@ def learn_lexicon(sample: DataFrame) -> list[Term]:
         .filter(F.col("weight") >= LEAST_WEIGHT)
         .orderBy(F.desc("weight"), "term", "stem").limit(LEXICON_TERMS)
     )
-    return reduced([Term(r["term"], round(r["weight"], 6), r["stem"]) for r in best.collect()])
+    return reduced([Term(r["term"], round(r["weight"], 6), r["stem"], r["toxic"] / size[True]) for r in best.collect()])
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> list[float]:
@@ -295,7 +309,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Mode
 
     @F.pandas_udf("array<double>")
     def features(batch: pd.Series) -> pd.Series:
-        return batch.map(Scorer(terms).features)
+        return batch.map(_scorer(tuple(terms), ()).features)
 
     rest = sample.filter(~F.col("fold").isin(*LEXICON_FOLDS)).select(features("text").alias("x"), "toxic").collect()
     x = np.array([r["x"] for r in rest]).reshape(-1, 4)
@@ -304,13 +318,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Mode
 
 def score(text: Column | str, model: Model) -> Column:
     """0 to 1 for a text; an empty or null text scores as one without any term."""
-    terms, curve = model.terms, model.curve
+    terms, curve = tuple(model.terms), tuple(model.curve)
 
     @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = Scorer(terms, curve)
-        for batch in batches:
-            yield batch.map(own.score).astype("float64")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(_scorer(terms, curve).score).astype("float64")
 
     return run(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
