@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postflock.llm import hnsw, jaccard, lengths, packing, secrets, toxicity, winnowing
+from postflock.llm import hnsw, jaccard, lengths, packing, pieces, pii, secrets, toxicity, url_lists, winnowing
 from postflock.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,24 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.digest(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
 
 
+@query("op7_url_lists")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return url_lists.digest(read_table(spark, folder, "pages"))
+
+
+@query("op8_personal_data")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest(read_table(spark, folder, "documents"))
+
+
+@query("op9_sentencepiece")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.digest(read_table(spark, folder, "documents"))
+
+
 @query("op10_secret_scan")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(read_table(spark, folder, "documents"))
+
+
+SQL["op7_url_lists"] = url_lists.SQL
