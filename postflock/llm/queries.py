@@ -70,4 +70,6 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(read_table(spark, folder, "documents"))
 
 
+SQL["op3_ngram_jaccard"] = jaccard.SQL
 SQL["op7_url_lists"] = url_lists.SQL
+SQL["op10_secret_scan"] = secrets.digest_sql()

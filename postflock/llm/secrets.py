@@ -233,3 +233,33 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
+
+
+def digest_sql() -> str:
+    """The digest in DuckDB's SQL: every rule on every text, without an index."""
+    def found(n: int, rule: Rule) -> str:
+        pattern = rule.pattern.replace("'", "''")
+        lengths = "list_transform({}, lambda x: length(x))"
+        return f"""
+  SELECT id, {n} AS rank, '{rule.kind}' AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i: {{
+    'start': list_sum({lengths.format("parts[:i]")}) + coalesce(list_sum({lengths.format("m[:i - 1]")}), 0),
+    'long': length(m[i]), 'size': length(g[i])}})) AS s
+  FROM (SELECT id, regexp_extract_all(text, '{pattern}', 0) AS m, regexp_extract_all(text, '{pattern}', {rule.group}) AS g,
+    string_split_regex(text, '{pattern}') AS parts FROM docs)
+  WHERE len(m) > 0"""
+
+    least = ", ".join(str(r.at_least) for r in RULES)
+    base = len(BASE_RULES)
+    counts = ", ".join(
+        f"CAST(count(*) FILTER (kind = '{r.kind}') AS BIGINT) AS n_{r.kind}" for r in BASE_RULES)
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(found(n, r) for n, r in enumerate(RULES))}),
+spans AS (
+  SELECT id, rank, kind, CAST(s.start AS BIGINT) AS start,
+    kind || ':' || CAST(s.start AS BIGINT) || ':' || CAST(s.start + s.long AS BIGINT) AS span
+  FROM found WHERE s.size >= [{least}][rank + 1])
+SELECT doc_id, {counts},
+  sha256(coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (rank < {base}), '')) AS base_sha256,
+  coalesce(string_agg(span, ',' ORDER BY start, rank), '') AS spans
+FROM docs LEFT JOIN spans USING (id) GROUP BY id, doc_id"""
