@@ -343,12 +343,12 @@ def groups(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``docs`` with one document of each group, the one of least id; repeated rows of it become one too.
-    Documents without shingles and rows without an id stay."""
+    """``docs`` with one document of each group, the one of least id; rows that repeat its id and text become
+    one too. Documents without shingles, rows without an id and other texts under the same id stay."""
     dropped = groups(docs.filter("doc_id is not null"), words).filter(
         F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_dropped")).distinct()
     kept = docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
-    once = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    once = kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
     return once.union(kept.filter("doc_id is null"))
 
 

@@ -38,6 +38,7 @@ QUOTED_FACTOR = 0.4
 REPORTED_FACTOR = 0.7
 CONTEXT = 80
 CACHED_WORDS = 500_000
+COUNTED_TERMS = 500_000
 CACHED_STATES = 50_000
 
 WORD = re.compile(r"\w+")
@@ -253,15 +254,24 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 
 
 def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Partial counts, given out whenever COUNTED_TERMS different terms have come together."""
     counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
+
+    def partial() -> pd.DataFrame:
+        keys = counts[0].keys() | counts[1].keys()
+        out = [(t, s, counts[1][t, s], counts[0][t, s]) for t, s in keys]
+        counts[0].clear()
+        counts[1].clear()
+        return pd.DataFrame(out, columns=["term", "stem", "toxic", "clean"])
+
     for rows in batches:
         for text, toxic in zip(rows.text, rows.toxic):
             words = set(WORD.findall(text.lower()))
             stems = {(w[:n], True) for w in words for n in STEM_LETTERS if len(w) > n}
             counts[int(toxic > 0)].update(stems | {(w, False) for w in words})
-    keys = counts[0].keys() | counts[1].keys()
-    out = [(t, s, counts[1][t, s], counts[0][t, s]) for t, s in keys]
-    yield pd.DataFrame(out, columns=["term", "stem", "toxic", "clean"])
+            if len(counts[0]) + len(counts[1]) > COUNTED_TERMS:
+                yield partial()
+    yield partial()
 
 
 def learn_lexicon(sample: DataFrame) -> list[Term]:
