@@ -28,7 +28,8 @@ from postflock.llm.common import bound_batches, stored, texts
 from postflock.llm.rolling import SHINGLE_WORDS, mixed, shingles
 from postflock.operators.components import components
 
-COORDINATES = 64
+COORDINATES = 512
+FOLD = 8
 LEAF = 32
 SMALL = 64
 GROUPS_PER_SIZE = 0.64
@@ -57,8 +58,9 @@ def set_key(tokens: np.ndarray) -> int:
 
 
 def counts(tokens: np.ndarray) -> np.ndarray:
-    """The point of a set: how many of its tokens fall on each coordinate."""
-    return np.bincount((tokens % np.uint64(COORDINATES)).astype(np.int64), minlength=COORDINATES).astype(np.int32)
+    """The point of a set: how many of its tokens fall on each coordinate. Two bytes hold the counts of sets
+    of up to some 30 million tokens."""
+    return np.bincount((tokens % np.uint64(COORDINATES)).astype(np.int64), minlength=COORDINATES).astype("<u2")
 
 
 def _band(size: int) -> int:
@@ -156,7 +158,7 @@ def _content(words: int):
                 tokens = shingles(text, words)
                 if key not in seen and set_key(tokens) == key:
                     seen.add(key)
-                    out.append((key, tokens.size, counts(tokens), tokens.view(np.int64)))
+                    out.append((key, tokens.size, counts(tokens).tobytes(), tokens.view(np.int64)))
             yield pd.DataFrame(out, columns=["key", "size", "counts", "tokens"])
     return run
 
@@ -166,7 +168,7 @@ def _contents(docs: DataFrame, members: DataFrame, keys: DataFrame, words: int)
     that repeat an id meet in one task, which keeps the first that has the key."""
     holders = members.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("_holder"))
     found = texts(docs).join(holders, F.col("doc_id").eqNullSafe(F.col("_holder"))).select("key", "text")
-    return found.mapInPandas(_content(words), "key long, size long, counts array<int>, tokens array<long>")
+    return found.mapInPandas(_content(words), "key long, size long, counts binary, tokens array<long>")
 
 
 def _verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
@@ -181,12 +183,13 @@ def _verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
 class CountTree:
     """R-tree over count vectors, packed by size and then by the coordinates' pattern: leaves of LEAF points,
     nodes of LEAF leaves. A box keeps the upper corner and the least set size, which bound the overlap that
-    any of its points can have with a query and the overlap that it would need."""
+    any of its points can have with a query and the overlap that it would need. Boxes and points are first
+    compared on coordinates folded by FOLD, then the points that are left on all of them."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray) -> None:
-        pattern = points.argmax(axis=1)
-        self.order = np.lexsort((pattern, np.log2(np.maximum(sizes, 1)).astype(int)))
-        self.points, self.sizes = points[self.order], sizes[self.order]
+        folded = self._folded(points)
+        self.order = np.lexsort((folded.argmax(axis=1), np.log2(np.maximum(sizes, 1)).astype(int)))
+        self.fine, self.points, self.sizes = points[self.order], folded[self.order], sizes[self.order]
         self.levels = []
         high, small = self.points, self.sizes
         while len(high) > 1:
@@ -195,20 +198,28 @@ class CountTree:
             self.levels.append((high, small))
         self.levels.reverse()
 
+    @staticmethod
+    def _folded(points: np.ndarray) -> np.ndarray:
+        return points.reshape(len(points), -1, FOLD).sum(axis=2, dtype=np.int32)
+
     @staticmethod
     def _open(query: np.ndarray, size: int, high: np.ndarray, small: np.ndarray) -> np.ndarray:
-        return np.minimum(high, query).sum(axis=1) >= least_overlap(size, small)
+        return np.minimum(high, query).sum(axis=1, dtype=np.int64) >= least_overlap(size, small)
 
-    def search(self, query: np.ndarray, size: int) -> np.ndarray:
-        """Places (in the given order of points) of all points that the bound does not rule out."""
+    def search(self, query: np.ndarray, size: int, wanted: np.ndarray | None = None) -> np.ndarray:
+        """Places (in the given order of points) of all points that the bound does not rule out, of those that
+        are ``wanted``."""
+        low = self._folded(query[None])[0]
         at = np.zeros(1, dtype=np.int64)
-        for high, small in [*self.levels, (self.points, self.sizes)]:
+        for high, small in self.levels:
             at = at[at < len(high)]
-            at = at[self._open(query, size, high[at], small[at])]
-            if high is self.points:
-                return self.order[at]
+            at = at[self._open(low, size, high[at], small[at])]
             at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
-        return self.order[at]
+        at = at[at < len(self.points)]
+        if wanted is not None:
+            at = at[wanted[self.order[at]]]
+        at = at[self._open(low, size, self.points[at], self.sizes[at])]
+        return self.order[at[self._open(query, size, self.fine[at], self.sizes[at])]]
 
 
 def _surviving(rows: dict[str, np.ndarray]) -> list[tuple[int, int]]:
@@ -221,8 +232,8 @@ def _surviving(rows: dict[str, np.ndarray]) -> list[tuple[int, int]]:
     tree = CountTree(counts[right], size[right])
     found = []
     for i in left:
-        at = right[tree.search(counts[i], size[i])]
-        found.extend((min(key[i], other), max(key[i], other)) for other in key[at[part[at] != part[i]]].tolist())
+        at = right[tree.search(counts[i], size[i], part[right] != part[i])]
+        found.extend((min(key[i], other), max(key[i], other)) for other in key[at].tolist())
     return found
 
 
@@ -234,7 +245,7 @@ def _tree_join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: set[tuple[int, int]] = set()
         if len(rows):
             columns = {c: rows[c].to_numpy() for c in ("key", "component", "size", "left", "right")}
-            columns["counts"] = np.stack(rows["counts"].to_numpy())
+            columns["counts"] = np.frombuffer(b"".join(rows["counts"]), dtype="<u2").reshape(len(rows), -1)
             name, block = rows["name"].to_numpy(), rows["block"].to_numpy()
             change = (name[1:] != name[:-1]) | (block[1:] != block[:-1])
             edges = np.concatenate(([0], np.flatnonzero(change) + 1, [len(rows)]))
