@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from postflock.llm.common import bound_batches, running_total, texts
+from postflock.llm.common import bound_batches, running_total, stored, texts
 from postflock.llm.tokens import VOCABULARY, token_count
 
 BUCKET = 1024
@@ -24,7 +24,9 @@ def suffix_sums(lengths: DataFrame) -> DataFrame:
     long), ``longer``, ``tokens`` (all tokens of the documents at least so long), ``kept_tokens`` (total
     tokens if every document is cut at this limit), ``lost_tokens``, ``quantile`` (share of the documents of
     at most this length) and ``total_documents``. Sums run from the longest down, within ranges of
-    ``BUCKET`` lengths and then over the ranges."""
+    ``BUCKET`` lengths and then over the ranges. The histogram is stored first: several branches of the plan
+    read it, and none of them shall encode the texts again."""
+    lengths = stored(lengths, "lengths-histogram")
     sums = lengths.withColumn("tokens_here", F.col("length") * F.col("documents"))
     order, bucket = [F.col("length").desc()], -F.floor(F.col("length") / BUCKET)
     for value, out in (("documents", "longer"), ("tokens_here", "tokens_longer")):
