@@ -11,9 +11,12 @@ end of a band also post in the next.
 
 *What to compare.* Buckets are first joined along stars, STAR_TURNS times: each set is verified against one
 other, of another component, that it meets most often. That connects groups of copies in as many checks as
-there are copies. What is left are buckets with sets of several components. There each set is a point, its counts of tokens per coordinate, in an R-tree
-whose boxes bound the overlap by the sum of the coordinates' minima. Pairs of different components that
-survive the bound are verified on the full sets. No pair that can link is left out.
+there are copies. What is left are buckets with sets of several components. There each set is a point, its
+counts of tokens per coordinate, in an R-tree whose boxes bound the overlap by the sum of the coordinates'
+minima. Nearly all pairs that survive the bound link, so FOREST_TURNS times each bucket gives out only as many
+survivors as it takes to connect its components; then all pairs that still lie in different components and
+survive are given out. They are verified on the full sets. A pair that shares many buckets is given out by the
+one of least name. No pair that can link is left out.
 """
 
 from __future__ import annotations
@@ -34,7 +37,10 @@ LEAF = 32
 SMALL = 64
 GROUPS_PER_SIZE = 0.64
 HOT = 256
-STAR_TURNS = 3
+STAR_TURNS = 2
+FOREST_TURNS = 1
+NAMES_KEPT = 16
+NO_NAME = (1 << 63) - 1
 SALTS = 16
 SIZE_CAP = 6
 FLUSH = 1_500_000
@@ -222,46 +228,63 @@ class CountTree:
         return self.order[at[self._open(query, size, self.fine[at], self.sizes[at])]]
 
 
-def _surviving(rows: dict[str, np.ndarray]) -> list[tuple[int, int]]:
-    """Pairs of different components in one bucket, one from each side, that the tree does not rule out.
-    Within a bucket that is compared with itself both sides are all rows."""
+def _first_met(least: np.ndarray, name: int, i: int, at: np.ndarray) -> np.ndarray:
+    """Of the rows ``at`` those that do not meet row ``i`` in a bucket of lesser name, as far as the lists of
+    their NAMES_KEPT least names show. The bucket of least name always keeps its pairs."""
+    before = least[i][least[i] < name]
+    if not before.size or not at.size:
+        return at
+    return at[~(least[at][:, :, None] == before).any(axis=(1, 2))]
+
+
+def _surviving(name: int, rows: dict[str, np.ndarray], forest: bool) -> list[tuple[int, int]]:
+    """Pairs of different components in one bucket, one from each side, that the tree does not rule out; for a
+    ``forest`` only those that join what the pairs before them have not joined. Within a bucket that is
+    compared with itself both sides are all rows."""
     left, right = np.flatnonzero(rows["left"]), np.flatnonzero(rows["right"])
-    part, key, size, counts = rows["component"], rows["key"], rows["size"], rows["counts"]
+    part, key, size, counts = rows["component"].copy(), rows["key"], rows["size"], rows["counts"]
     if not left.size or not right.size or (part == part[0]).all():
         return []
     tree = CountTree(counts[right], size[right])
     found = []
     for i in left:
         at = right[tree.search(counts[i], size[i], part[right] != part[i])]
+        at = _first_met(rows["least"], name, i, at)
+        if forest and at.size:
+            joined, one = np.unique(part[at], return_index=True)
+            at = at[one]
+            part[np.isin(part, joined)] = part[i]
         found.extend((min(key[i], other), max(key[i], other)) for other in key[at].tolist())
     return found
 
 
-def _tree_join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Buckets come one after the other, sorted; a bucket may reach over batches."""
-    rest: pd.DataFrame | None = None
-
+def _tree_join(forest: bool):
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
         found: set[tuple[int, int]] = set()
         if len(rows):
             columns = {c: rows[c].to_numpy() for c in ("key", "component", "size", "left", "right")}
             columns["counts"] = np.frombuffer(b"".join(rows["counts"]), dtype="<u2").reshape(len(rows), -1)
+            columns["least"] = np.stack(rows["least"].to_list())
             name, block = rows["name"].to_numpy(), rows["block"].to_numpy()
             change = (name[1:] != name[:-1]) | (block[1:] != block[:-1])
             edges = np.concatenate(([0], np.flatnonzero(change) + 1, [len(rows)]))
             for low, high in zip(edges[:-1], edges[1:]):
-                found.update(_surviving({c: v[low:high] for c, v in columns.items()}))
+                found.update(_surviving(name[low], {c: v[low:high] for c, v in columns.items()}, forest))
         return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
-    for rows in batches:
-        rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
-        if rows.empty:
-            continue
-        last = (rows["name"] == rows["name"].iloc[-1]) & (rows["block"] == rows["block"].iloc[-1])
-        rest = rows[last]
-        yield pairs(rows[~last])
-    if rest is not None:
-        yield pairs(rest)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Buckets come one after the other, sorted; a bucket may reach over batches."""
+        rest: pd.DataFrame | None = None
+        for rows in batches:
+            rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
+            if rows.empty:
+                continue
+            last = (rows["name"] == rows["name"].iloc[-1]) & (rows["block"] == rows["block"].iloc[-1])
+            rest = rows[last]
+            yield pairs(rows[~last])
+        if rest is not None:
+            yield pairs(rest)
+    return run
 
 
 def _buckets(docs: DataFrame, words: int) -> DataFrame:
@@ -303,9 +326,10 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(after.select("key", F.coalesce("label", "component").alias("component")), "jaccard-labels")
 
 
-def _remaining(rows: DataFrame, contents: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of different components, from the buckets that still hold several. Of buckets
-    with the same members one is enough."""
+def _remaining(rows: DataFrame, contents: DataFrame, forest: bool) -> DataFrame:
+    """Candidate pairs (a, b) of different components, from the buckets that still hold several: all, or for a
+    ``forest`` enough of each bucket to connect what its candidates connect. Of buckets with the same members
+    one is enough."""
     members = [F.bit_xor(F.xxhash64("key", F.lit(seed))).alias(f"_members{seed}") for seed in (1, 2)]
     open_names = rows.groupBy("name").agg(
         F.min("component").alias("_low"), F.max("component").alias("_high"), F.max("salt").alias("_salts"),
@@ -313,18 +337,21 @@ def _remaining(rows: DataFrame, contents: DataFrame) -> DataFrame:
     ).filter(F.col("_low") != F.col("_high")).groupBy("_rows", "_members1", "_members2").agg(
         F.min("name").alias("name"), F.max(F.col("_salts") > 0).alias("hot"))
     every = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS))).otherwise(F.array(F.lit(0)))
+    rows = rows.join(open_names.select("name", "hot"), "name")
+    least = rows.groupBy("key").agg(F.slice(F.concat(
+        F.array_sort(F.collect_set("name")), F.array_repeat(F.lit(NO_NAME), NAMES_KEPT)), 1, NAMES_KEPT).alias("least"))
     rows = (
-        rows.join(open_names.select("name", "hot"), "name").withColumn("_other", F.explode(every))
+        rows.withColumn("_other", F.explode(every))
         .select(
             "name", "key", "component",
             F.when(F.col("hot"), F.least("salt", "_other") * (SALTS + 1) + F.greatest("salt", "_other"))
             .otherwise(0).alias("block"),
             (~F.col("hot") | (F.col("salt") <= F.col("_other"))).alias("left"),
             (~F.col("hot") | (F.col("salt") >= F.col("_other"))).alias("right"))
-        .join(contents.select("key", "size", "counts"), "key")
+        .join(contents.select("key", "size", "counts").join(least, "key"), "key")
         .repartition("name", "block").sortWithinPartitions("name", "block")
     )
-    return rows.mapInPandas(_tree_join, "a long, b long").distinct()
+    return rows.mapInPandas(_tree_join(forest), "a long, b long").distinct()
 
 
 def groups(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -339,13 +366,12 @@ def groups(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     contents = stored(_contents(docs, members, buckets.select("key").distinct(), words), "jaccard-contents")
     labels = buckets.select("key").distinct().withColumn("component", F.col("key"))
     tested = None
-    for turn in range(STAR_TURNS):
-        pairs = _meeting(buckets.join(labels, "key"), turn)
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "jaccard-star")
+    for turn in range(STAR_TURNS + FOREST_TURNS + 1):
+        rows = buckets.join(labels, "key")
+        pairs = _meeting(rows, turn) if turn < STAR_TURNS else _remaining(rows, contents, turn < STAR_TURNS + FOREST_TURNS)
+        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
         tested = pairs if tested is None else tested.union(pairs)
         labels = _merged(labels, _verified(pairs, contents))
-    rest = _remaining(buckets.join(labels, "key"), contents).join(tested, ["a", "b"], "left_anti")
-    labels = _merged(labels, _verified(rest, contents))
     filled = members.filter("n_shingles > 0").join(labels, "key", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "key").alias("_component"))
     least = filled.groupBy("_component").agg(F.min("doc_id").alias("component_id"))
