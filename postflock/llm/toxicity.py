@@ -2,8 +2,9 @@
 
 1. From a bounded sample of labelled documents, words and word beginnings (stems) are weighted by how much
    more often they occur in toxic documents (lower bound of the log-odds). The clear ones are the lexicon.
-2. The lexicon's trie is intersected with the Levenshtein automaton of its terms. The product is made
-   deterministic as texts walk through it, so a word costs one look-up per letter and most end at once.
+2. Words are walked through the lexicon's trie. A word that is not in it is compared, by a Levenshtein
+   automaton that serves all terms, with the terms that have a shortened form in common with it. Every word
+   of five letters or more may be misspelled, however rare. Each worker remembers the words it has met.
 3. A found term counts with its weight, less by the edits needed, and less where the words around it show
    that it is quoted: quotation marks that enclose it, words of reporting in front of it.
 4. A logistic curve, fitted on other labelled documents than the lexicon, turns the sums into 0 to 1.
@@ -32,14 +33,13 @@ LEAST_WEIGHT = 1.5
 LEAST_DOCUMENTS = 3
 STEM_LETTERS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
-COMMON_SHARE = 0.05
 EDIT_FACTOR = 0.5
 QUOTED_FACTOR = 0.4
 REPORTED_FACTOR = 0.7
 CONTEXT = 80
 CACHED_WORDS = 500_000
 COUNTED_TERMS = 500_000
-CACHED_STATES = 50_000
+FIRST_LETTERS = 8
 
 WORD = re.compile(r"\w+")
 #: Words of reporting or mention, in the four languages of the corpus.
@@ -60,8 +60,8 @@ class Term:
 
     @property
     def edits(self) -> int:
-        """Edits at which a whole word still counts; stems and rare words must stand as they are."""
-        if self.stem or self.share < COMMON_SHARE or len(self.text) < 5:
+        """Edits at which a whole word still counts, however rare it is; stems must stand as they are."""
+        if self.stem or len(self.text) < 5:
             return 0
         return 1 if len(self.text) < 8 else 2
 
@@ -71,107 +71,127 @@ class _Node:
     next: dict[str, _Node] = field(default_factory=dict)
     word: float = 0.0
     stem: float = 0.0
-    edits: int = 0
-    room: int = 0
+
+
+class Levenshtein:
+    """The Levenshtein automaton for a number of edits, the same for every term. A state is the row of edits
+    at the 2 * edits + 1 places of the term around the letter read; a step depends only on which letters of
+    the term there equal it. States are made as they are met; there are few."""
+
+    def __init__(self, edits: int) -> None:
+        self.edits, self.width = edits, 2 * edits + 1
+        self._rows: list[tuple[int, ...]] = []
+        self._ids: dict[tuple[int, ...], int] = {}
+        self._steps: list[list[int | None]] = []
+        self._start = self._state(tuple(o if o >= 0 else edits + 1 for o in range(-edits, edits + 1)))
+
+    def _state(self, row: tuple[int, ...]) -> int:
+        """-1 where all places have more edits than allowed."""
+        if min(row) > self.edits:
+            return -1
+        if row not in self._ids:
+            self._ids[row] = len(self._rows)
+            self._rows.append(row)
+            self._steps.append([None] * (1 << self.width))
+        return self._ids[row]
+
+    def _step(self, state: int, equal: int) -> int:
+        old, new = self._rows[state], []
+        for o in range(self.width):
+            least = min(old[o] + 1 - (equal >> o & 1), old[o + 1] + 1 if o + 1 < self.width else self.edits + 1)
+            new.append(min(least, new[-1] + 1 if new else least, self.edits + 1))
+        self._steps[state][equal] = after = self._state(tuple(new))
+        return after
+
+    def places(self, term: str) -> dict[str, int]:
+        """For each letter of the term the bits of its places."""
+        found: dict[str, int] = {}
+        for n, letter in enumerate(term):
+            found[letter] = found.get(letter, 0) | 1 << n + self.edits
+        return found
+
+    def distance(self, word: str, length: int, places: dict[str, int]) -> int:
+        """Edits between the word and the term of this length and places, or more than allowed."""
+        if abs(length - len(word)) > self.edits:
+            return self.edits + 1
+        state, steps, last = self._start, self._steps, (1 << self.width) - 1
+        for n, letter in enumerate(word, 1):
+            equal = places.get(letter, 0) >> n - 1 & last
+            after = steps[state][equal]
+            state = self._step(state, equal) if after is None else after
+            if state < 0:
+                return self.edits + 1
+        return self._rows[state][length - len(word) + self.edits]
+
+
+def shortened(word: str, edits: int) -> set[str]:
+    """The first FIRST_LETTERS letters of ``word`` with up to ``edits`` of them left out. Words no more than
+    ``edits`` apart have one of these in common."""
+    found = {word[:FIRST_LETTERS]}
+    for _ in range(edits):
+        found |= {w[:i] + w[i + 1:] for w in found for i in range(len(w))}
+    return found
 
 
 class Matcher:
     """Weights of words by the lexicon; (exact weight, weight with edits), or None."""
 
     def __init__(self, terms: list[Term]) -> None:
-        self._nodes = [_Node()]
+        self._root = _Node()
         for term in terms:
-            node = self._nodes[0]
-            node.room = max(node.room, term.edits)
+            node = self._root
             for letter in term.text:
-                if letter not in node.next:
-                    node.next[letter] = _Node()
-                    self._nodes.append(node.next[letter])
-                node = node.next[letter]
-                node.room = max(node.room, term.edits)
+                node = node.next.setdefault(letter, _Node())
             if term.stem:
                 node.stem = max(node.stem, term.weight)
             else:
-                node.word, node.edits = max(node.word, term.weight), term.edits
-        self._index = {id(n): i for i, n in enumerate(self._nodes)}
-        self._clear()
-
-    def _clear(self) -> None:
-        self._ids: dict[tuple, int] = {}
-        self._keys: list[tuple] = []
-        self._steps: list[dict[str, int]] = []
-        self._found: list[tuple[float, float] | None] = []
-        self._start = self._state({(0, 0)}, 0.0)
-
-    def _state(self, places: set[tuple[int, int]], stem: float) -> int:
-        """The number of the state that stands at these (node, edits); -1 if nothing can match any more.
-        Letters that the text leaves out are followed here; of each node only the least edits are kept."""
-        least: dict[int, int] = {}
-        work = list(places)
-        while work:
-            at, edits = work.pop()
-            if edits >= least.get(at, 99) or edits > self._nodes[at].room:
-                continue
-            least[at] = edits
-            work.extend((self._index[id(n)], edits + 1) for n in self._nodes[at].next.values())
-        if not least and not stem:
-            return -1
-        key = (frozenset(least.items()), stem)
-        if key not in self._ids:
-            if len(self._keys) >= CACHED_STATES:
-                self._clear()
-            nodes = [(self._nodes[at], edits) for at, edits in least.items()]
-            exact = max([stem, *(n.word for n, e in nodes if e == 0)])
-            near = max([0.0, *(n.word * EDIT_FACTOR ** e for n, e in nodes if 0 < e <= n.edits)])
-            self._ids[key] = len(self._keys)
-            self._keys.append(key)
-            self._steps.append({})
-            self._found.append((exact, 0.0 if exact else near) if exact or near else None)
-        return self._ids[key]
-
-    def _step(self, key: tuple, letter: str) -> int:
-        places, stem = set(), key[1]
-        for at, edits in key[0]:
-            node = self._nodes[at]
-            places.add((at, edits + 1))
-            for own, child in node.next.items():
-                if own != letter:
-                    places.add((self._index[id(child)], edits + 1))
-                else:
-                    places.add((self._index[id(child)], edits))
-                    stem = max(stem, child.stem if edits == 0 else 0.0)
-        return self._state(places, stem)
+                node.word = max(node.word, term.weight)
+        self._near = []
+        for edits in sorted({t.edits for t in terms} - {0}):
+            own, forms = Levenshtein(edits), {}
+            some = [(t.weight, len(t.text), own.places(t.text)) for t in terms if t.edits == edits]
+            for n, text in enumerate(t.text for t in terms if t.edits == edits):
+                for form in shortened(text, edits):
+                    forms.setdefault(form, []).append(n)
+            lengths = [length for _, length, _ in some]
+            self._near.append((own, min(lengths) - edits, max(lengths) + edits, some, forms))
+
+    def _exact(self, word: str) -> float:
+        node, stem = self._root, 0.0
+        for letter in word:
+            if (node := node.next.get(letter)) is None:
+                return stem
+            stem = max(stem, node.stem)
+        return max(stem, node.word)
 
     def weights(self, word: str) -> tuple[float, float] | None:
-        state = self._start
-        for letter in word:
-            after = self._steps[state].get(letter)
-            if after is None:
-                key, seen = self._keys[state], len(self._keys)
-                after = self._step(key, letter)
-                if len(self._keys) >= seen:
-                    self._steps[state][letter] = after
-            if after < 0:
-                return None
-            state = after
-        return self._found[state]
+        if exact := self._exact(word):
+            return exact, 0.0
+        near = 0.0
+        for own, low, high, terms, forms in self._near:
+            if low <= len(word) <= high:
+                for n in {n for form in forms.keys() & shortened(word, own.edits) for n in forms[form]}:
+                    weight, length, places = terms[n]
+                    edits = own.distance(word, length, places)
+                    if edits <= own.edits:
+                        near = max(near, weight * EDIT_FACTOR ** edits)
+        return (0.0, near) if near else None
 
 
 def reduced(terms: list[Term]) -> list[Term]:
-    """Without stems for which one word or one longer stem stands as well, and without words and longer stems
-    that a stem covers."""
-    words = {t.text: t.weight for t in terms if not t.stem}
-    share = {(t.text, t.stem): t.share for t in terms}
-    stems: dict[str, float] = {}
+    """Without stems for which one word or one longer stem stands as well, and without longer stems and short
+    words that a stem covers. Words that may be misspelled all stay: a stem has no edits."""
+    words = {t.text: t for t in terms if not t.stem}
+    stems: dict[str, Term] = {}
     for t in sorted((t for t in terms if t.stem), key=lambda t: (len(t.text), t.text)):
         if any(o.text != t.text and o.text.startswith(t.text) and o.weight >= t.weight - 0.1 or
                o.text == t.text and not o.stem and o.weight >= t.weight - 0.1 for o in terms):
             continue
-        if not any(t.text.startswith(s) and v >= t.weight - 0.5 for s, v in stems.items()):
-            stems[t.text] = t.weight
-    kept = [Term(w, v, False, share[w, False]) for w, v in words.items()
-            if not any(w.startswith(s) and x >= v - 0.5 for s, x in stems.items())]
-    return sorted(kept + [Term(s, v, True, share[s, True]) for s, v in stems.items()], key=lambda t: (t.text, t.stem))
+        if not any(t.text.startswith(s) and v.weight >= t.weight - 0.5 for s, v in stems.items()):
+            stems[t.text] = t
+    kept = [t for w, t in words.items()
+            if t.edits or not any(w.startswith(s) and v.weight >= t.weight - 0.5 for s, v in stems.items())]
+    return sorted([*kept, *stems.values()], key=lambda t: (t.text, t.stem))
 
 
 def quotation(text: str, start: int, end: int) -> float:
@@ -206,19 +226,19 @@ class Scorer:
         low = text.lower()
         known = self._known
         words = WORD.findall(low)
-        hits = set()
+        hits = {}
         for word in words:
             try:
                 found = known[word]
             except KeyError:
                 found = self._weights(word)
             if found is not None:
-                hits.add(word)
+                hits[word] = found
         most = total = near = 0.0
         if hits:
             for m in WORD.finditer(low):
                 if m.group() in hits:
-                    exact, edited = self._weights(m.group())
+                    exact, edited = hits[m.group()]
                     factor = quotation(low, m.start(), m.end())
                     most, near = max(most, exact * factor), max(near, edited * factor)
                     total += (exact + edited) * factor

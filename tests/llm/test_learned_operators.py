@@ -37,6 +37,19 @@ def test_matcher_equals_edit_distance():
         assert matcher.weights(word) == ((exact, 0.0 if exact else near) if exact or near else None)
 
 
+def test_rare_and_covered_words_may_be_misspelled(spark):
+    insults = [f"{a}{b}zz{c}ard" for a in ("bl", "kr", "dr", "gn", "pf") for b in "aeiou" for c in "l"] + ["stonehead", "stoneheads"]
+    rows = [(f"plain words {insults[i % 27]} here", 1) for i in range(324)] + [("plain words here", 0)] * 900
+    terms = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    matcher = toxicity.Matcher(terms)
+    assert all(t.share < 0.05 for t in terms if t.text in insults)
+    for word in insults:
+        assert matcher.weights(word)[0] > 0 and matcher.weights("x" + word)[1] > 0
+    covered = toxicity.reduced([toxicity.Term("stone", 6.0, True, 0.1), toxicity.Term("stonehead", 6.0, False, 0.01),
+                                toxicity.Term("stoneheads", 5.0, False, 0.01)])
+    assert toxicity.Matcher(covered).weights("xstonehead") == (0.0, 3.0)
+
+
 def test_quotation_counts_less():
     terms, curve = [toxicity.Term("idiot", 6.0)], [-4.0, 1.0, 0.0, 0.0, 1.0]
     own = toxicity.Scorer(terms, curve)
