@@ -329,8 +329,8 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 def _remaining(rows: DataFrame, contents: DataFrame, forest: bool) -> DataFrame:
     """Candidate pairs (a, b) of different components, from the buckets that still hold several: all, or for a
     ``forest`` enough of each bucket to connect what its candidates connect. Of buckets with the same members
-    one is enough."""
-    members = [F.bit_xor(F.xxhash64("key", F.lit(seed))).alias(f"_members{seed}") for seed in (1, 2)]
+    one is enough; a key that stands twice counts with its salts, or it would leave no trace in the XOR."""
+    members = [F.bit_xor(F.xxhash64("key", "salt", F.lit(seed))).alias(f"_members{seed}") for seed in (1, 2)]
     open_names = rows.groupBy("name").agg(
         F.min("component").alias("_low"), F.max("component").alias("_high"), F.max("salt").alias("_salts"),
         F.count("*").alias("_rows"), *members,

@@ -126,6 +126,23 @@ def test_components_with_salted_buckets(spark, monkeypatch):
         assert set(rows_of.groupby("salt").key.min()) <= set(faces)
 
 
+def test_hot_and_other_buckets_of_different_groups_are_all_searched(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 3)
+    monkeypatch.setattr(jaccard, "SALTS", 1)
+    monkeypatch.setattr(jaccard, "STAR_TURNS", 0)
+    rng, groups = random.Random(12), []
+    for g in range(12):
+        words = [f"g{g}w{i}" for i in range(100)]
+        groups.append([_edited(words, 1, rng) for _ in range(8)])
+    texts = [t for group in groups for t in group]
+    for low in range(0, 8, 2):
+        texts += [t for group in groups for t in group[low:low + 2]]
+        texts += [" ".join(f"own{rng.randrange(10**9)}" for _ in range(9)) for _ in range(72)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 5), "doc_id long, text string")
+    assert Counter(map(tuple, jaccard.groups(docs).collect())) == _components(rows)
+
+
 def test_posting_meets_every_linked_pair():
     rng = random.Random(8)
     for _ in range(400):
