@@ -143,8 +143,12 @@ def _post(words: int):
     return run
 
 
+def _mark(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, key, n_shingles) of every row."""
+    """(doc_id, mark, key, n_shingles) of every row; ``mark`` tells the texts of one id apart."""
 
     @F.pandas_udf("key long, n_shingles long")
     def run(batch: pd.Series) -> pd.DataFrame:
@@ -152,7 +156,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
         return pd.DataFrame({"key": [set_key(t) for t in found], "n_shingles": [t.size for t in found]},
                             dtype="int64")
 
-    return texts(docs).select("doc_id", run("text").alias("s")).select("doc_id", "s.*")
+    return texts(docs).select("doc_id", _mark("text").alias("mark"), run("text").alias("s")).select("doc_id", "mark", "s.*")
 
 
 def _content(words: int):
@@ -354,12 +358,8 @@ def _remaining(rows: DataFrame, contents: DataFrame, forest: bool) -> DataFrame:
     return rows.mapInPandas(_tree_join(forest), "a long, b long").distinct()
 
 
-def groups(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per row of ``docs``.
-
-    Null and empty texts have no shingles and stand alone. Repeated rows and equal sets are one group. A
-    component without any id has a null component_id.
-    """
+def _grouped(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``_sets`` that have shingles, with their component, and those that have none."""
     bound_batches(docs.sparkSession)
     members = stored(_sets(docs, words), "jaccard-members")
     buckets = stored(_buckets(docs, words), "jaccard-buckets")
@@ -373,18 +373,33 @@ def groups(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
         tested = pairs if tested is None else tested.union(pairs)
         labels = _merged(labels, _verified(pairs, contents))
     filled = members.filter("n_shingles > 0").join(labels, "key", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "key").alias("_component"))
+        "doc_id", "mark", "key", "n_shingles", F.coalesce("component", "key").alias("_component"))
+    return filled, members.filter("n_shingles = 0")
+
+
+def groups(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per row of ``docs``.
+
+    Null and empty texts have no shingles and stand alone. Repeated rows and equal sets are one group. A
+    component without any id has a null component_id.
+    """
+    filled, empty = _grouped(docs, words)
     least = filled.groupBy("_component").agg(F.min("doc_id").alias("component_id"))
-    empty = members.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return filled.join(least, "_component").select("doc_id", "n_shingles", "component_id").union(empty)
+    return filled.join(least, "_component").select("doc_id", "n_shingles", "component_id").union(
+        empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``docs`` with one document of each group, the one of least id; rows that repeat its id and text become
-    one too. Documents without shingles, rows without an id and other texts under the same id stay."""
-    dropped = groups(docs.filter("doc_id is not null"), words).filter(
-        F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_dropped")).distinct()
-    kept = docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    """``docs`` with one document of each group, the one of least id (of several texts under that id the one of
+    least set key); rows that repeat its id and text become one too. Documents without shingles, rows without
+    an id and texts of other groups under the same id stay."""
+    filled, _ = _grouped(docs.filter("doc_id is not null"), words)
+    row = F.struct("doc_id", "key", "mark")
+    least = filled.groupBy("_component").agg(F.min(row).alias("_least"))
+    dropped = filled.join(least, "_component").filter(row != F.col("_least")).select(
+        F.col("doc_id").alias("_dropped"), F.col("mark").alias("_dropped_mark")).distinct()
+    kept = docs.join(
+        dropped, (F.col("doc_id") == F.col("_dropped")) & (_mark("text") == F.col("_dropped_mark")), "left_anti")
     once = kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
     return once.union(kept.filter("doc_id is null"))
 

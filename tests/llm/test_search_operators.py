@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from postflock.llm import hnsw, jaccard, queries, rolling, secrets, url_lists
 from tests.conftest import SMALL
 from tests.harness import connect, differences
-from tests.llm.helpers import documents, odd_texts
+from tests.llm.helpers import PROSE, documents, odd_texts
 
 
 def _nearest(rows, k=20):
@@ -176,6 +176,13 @@ def test_one_of_each_group_stays(spark):
     assert Counter(r.doc_id for r in kept.collect()) == Counter({i: 1 for i in (1, 2, 3, 4, 5, 7, 8, 10)} | {11: 2, None: 2})
 
 
+def test_only_copies_of_an_id_go(spark):
+    other = "an entirely different text of the same id about rivers and hills"
+    texts = [(3, PROSE), (7, PROSE + " again"), (7, other), (7, ""), (8, other + " too"), (9, PROSE), (9, "short"), (10, other)]
+    kept = jaccard.keep_one(documents(spark, texts)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(3, PROSE), (7, other), (7, ""), (9, "short")])
+
+
 def _secrets(text):
     spans = []
     for n, rule in enumerate(secrets.RULES):
