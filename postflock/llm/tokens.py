@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import os
+import re
 
 import numpy as np
 import pandas as pd
@@ -15,8 +17,9 @@ CACHED_WORDS = 400_000
 
 
 class Encoder:
-    """Ids of ``byte_bpe_50k.json`` (``add_special_tokens=False``; strings of special tokens are ordinary
-    text), got through the ranks file of the same vocabulary.
+    """Ids of ``byte_bpe_50k.json`` (``add_special_tokens=False``), got through the ranks file of the same
+    vocabulary. Where a text holds the string of an added token of the JSON file, that token's id stands, and
+    the parts between are encoded one by one.
 
     No token reaches over the space in front of a word: where a space stands alone between two characters
     that are no white space, the text may be cut in front of it and the parts encoded one by one. Words
@@ -32,7 +35,13 @@ class Encoder:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
         self._bpe = tiktoken.Encoding(
             "words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._type = np.dtype("<u2" if max(ranks.values()) < 1 << 16 else "<u4")
+        added = {}
+        if os.path.exists(names := os.path.splitext(path)[0] + ".json"):
+            with open(names, encoding="utf-8") as file:
+                added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+        self._type = np.dtype("<u2" if max([*ranks.values(), *added.values()]) < 1 << 16 else "<u4")
+        self._added = {t: np.array([i], dtype=self._type).tobytes() for t, i in added.items()}
+        self._cuts = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self._words: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
@@ -48,6 +57,15 @@ class Encoder:
         return ids
 
     def packed(self, text: str) -> bytes:
+        if self._cuts is None or not self._cuts.search(text):
+            return self._ordinary(text)
+        parts, at = [], 0
+        for m in self._cuts.finditer(text):
+            parts += [self._ordinary(text[at:m.start()]), self._added[m.group()]]
+            at = m.end()
+        return b"".join([*parts, self._ordinary(text[at:])])
+
+    def _ordinary(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         if not rest or not first or first[-1].isspace():
             return self._encode(text)

@@ -99,6 +99,14 @@ def test_ids_equal_the_tokenizer(text):
     assert own.ids(own.packed(text)).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "a", " b", "\n", "é"]), max_size=9).map("".join))
+def test_ids_of_added_tokens_equal_the_tokenizer(text):
+    own = encoder()
+    for whole in (text, f"a {text}<|endoftext|> b"):
+        assert own.ids(own.packed(whole)).tolist() == TOKENIZER.encode(whole, add_special_tokens=False).ids
+
+
 def _check_pieces(pieces_found, ids):
     total = 0
     for doc, rows in pieces_found.items():
