@@ -72,7 +72,8 @@ LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 EDGE = ".,;:!?|\"'"
 CONTEXT = 40
 ROUNDS = 300
-LONGEST = 512
+BLOCK = 512
+DECODED_TOKENS = 256 * BLOCK
 
 Span = tuple[str, int, int]
 
@@ -159,7 +160,7 @@ def segments(text: str) -> list[Segment]:
     for place in sorted(places):
         if runs and place[0] < runs[-1][-1][1]:
             continue
-        if runs and len(runs[-1]) < LONGEST and text[runs[-1][-1][1]:place[0]].isspace():
+        if runs and text[runs[-1][-1][1]:place[0]].isspace():
             runs[-1].append(place)
         else:
             runs.append([place])
@@ -180,29 +181,36 @@ class Field:
     emit: np.ndarray
     move: np.ndarray
 
-    def scores(self, parts: list[Segment]) -> tuple[np.ndarray, np.ndarray]:
-        """(segments, tokens, labels) padded with 0, and the lengths."""
+    def scores(self, parts: list[Segment], low: int = 0, high: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(segments, tokens, labels) of the tokens from ``low`` to ``high``, padded with 0, and the lengths."""
         lengths = np.array([len(p.places) for p in parts])
-        out = np.zeros((len(parts), lengths.max(), len(LABELS)))
+        high = lengths.max() if high is None else min(high, lengths.max())
+        out = np.zeros((len(parts), high - low, len(LABELS)))
         for n, part in enumerate(parts):
-            for t, names in enumerate(part.features):
+            for t, names in enumerate(part.features[low:high]):
                 rows = [self.index[f] for f in names if f in self.index]
                 out[n, t] = self.emit[rows].sum(axis=0)
         return out, lengths
 
     def decode(self, parts: list[Segment]) -> list[list[int]]:
-        """Best labels of every segment, all segments in step; "none" stands before and behind each."""
+        """Best labels of every segment, all segments in step; "none" stands before and behind each. Scores
+        are made for BLOCK tokens at a time; the best sums and the back pointers go on to the next block."""
         if not parts:
             return []
-        emit, lengths = self.scores(parts)
-        count, longest, _ = emit.shape
-        best = emit[:, 0] + self.move[0]
-        back = np.zeros(emit.shape, dtype=np.int64)
-        for t in range(1, longest):
-            ways = best[:, :, None] + self.move[None]
-            back[:, t] = ways.argmax(axis=1)
-            after = ways.max(axis=1) + emit[:, t]
-            best = np.where((t < lengths)[:, None], after, best)
+        count, lengths = len(parts), np.array([len(p.places) for p in parts])
+        longest = lengths.max()
+        best = np.zeros((count, len(LABELS)))
+        back = np.zeros((count, longest, len(LABELS)), dtype=np.int8)
+        for low in range(0, longest, BLOCK):
+            emit = self.scores(parts, low, low + BLOCK)[0]
+            for t in range(low, low + emit.shape[1]):
+                if not t:
+                    best = emit[:, 0] + self.move[0]
+                    continue
+                ways = best[:, :, None] + self.move[None]
+                back[:, t] = ways.argmax(axis=1)
+                after = ways.max(axis=1) + emit[:, t - low]
+                best = np.where((t < lengths)[:, None], after, best)
         label = (best + self.move[:, 0]).argmax(axis=1)
         out = np.zeros((count, longest), dtype=np.int64)
         for t in range(longest - 1, -1, -1):
@@ -297,8 +305,9 @@ def field_spans(texts_of: list[str], field: Field) -> list[list[Span]]:
     flat = [p for own in parts for p in own]
     order = sorted(range(len(flat)), key=lambda i: len(flat[i].places))
     labels: list[list[int]] = [[]] * len(flat)
-    for low in range(0, len(order), 256):
-        some = order[low:low + 256]
+    while order:
+        many = max(1, min(256, DECODED_TOKENS // len(flat[order[-1]].places)))
+        order, some = order[:-many], order[-many:]
         for i, found in zip(some, field.decode([flat[i] for i in some])):
             labels[i] = found
     out, n = [], 0

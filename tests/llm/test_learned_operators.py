@@ -153,6 +153,23 @@ def test_pipeline_stages(spark):
     assert civil.count() >= 0.8 * docs.count()
 
 
+def test_spans_over_long_runs_are_whole():
+    field = pii.train()
+    for many in (500, 511, 512, 513, 1030):
+        text = "1 " * (many - 2) + "4111 1111 1111 1111 card"
+        part, = pii.segments(text)
+        emit, path = field.scores([part])[0][0], []
+        best, back = emit[0] + field.move[0], []
+        for row in emit[1:]:
+            ways = best[:, None] + field.move
+            back.append(ways.argmax(axis=0))
+            best = ways.max(axis=0) + row
+        path = [int((best + field.move[:, 0]).argmax())]
+        for row in reversed(back):
+            path.append(int(row[path[-1]]))
+        assert len(part.places) == many + 2 and field.decode([part]) == [path[::-1]]
+
+
 def test_every_operator_has_one_query():
     names = list(queries.QUERIES)
     assert [int(re.match(r"op(\d+)_", n).group(1)) for n in names] == list(range(1, 11))
