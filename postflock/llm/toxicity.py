@@ -127,9 +127,11 @@ class Levenshtein:
 def shortened(word: str, edits: int) -> set[str]:
     """The first FIRST_LETTERS letters of ``word`` with up to ``edits`` of them left out. Words no more than
     ``edits`` apart have one of these in common."""
+    cut = [("", word[:FIRST_LETTERS])]
     found = {word[:FIRST_LETTERS]}
     for _ in range(edits):
-        found |= {w[:i] + w[i + 1:] for w in found for i in range(len(w))}
+        cut = [(a + b[:i], b[i + 1:]) for a, b in cut for i in range(len(b))]
+        found.update([a + b for a, b in cut])
     return found
 
 
