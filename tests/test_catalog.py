@@ -1,5 +1,10 @@
 """Every registered query: equal to its SQL, or, for fitted models, its invariants."""
 
+import pathlib
+import shutil
+import subprocess
+import sys
+
 import pytest
 
 from postflock.catalog import QUERIES, SQL
@@ -69,3 +74,18 @@ def test_hybrid_users_leave_out_oneself(spark):
 def test_silhouette_in_range(spark):
     rows = _rows(spark, "m13_silhouette")
     assert rows["size"].sum() == 15 and rows.silhouette.between(-1, 1).all()
+
+
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_in_a_copy_without_the_text_folders(tmp_path, pipeline):
+    here = pathlib.Path(__file__).parent.parent
+    shutil.copytree(here / "postflock", tmp_path / "postflock", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ["__spark_entry__.py"] + (["corpus_pipeline.py"] if pipeline else []):
+        if (here / name).exists():
+            shutil.copy(here / name, tmp_path)
+    told = subprocess.run(
+        [sys.executable, "-c", "import __spark_entry__ as e; print(*e.queries(), '/', *e.oracle_sql())"],
+        cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert told.returncode == 0, told.stderr
+    names, sql = (set(x.split()) for x in told.stdout.split("/"))
+    assert names == set(QUERIES) and sql == set(SQL)
