@@ -1,4 +1,4 @@
-"""The queries of this subpackage, op1 to op10, over a table folder."""
+"""The queries of this subpackage, op1 to op13, over a table folder."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postflock.llm import hnsw, jaccard, lengths, packing, pieces, pii, secrets, toxicity, url_lists, winnowing
+from postflock.llm import (
+    byte_pairs, hnsw, infill, jaccard, lengths, packing, pieces, pii, prefix_trie, secrets, toxicity, url_lists, winnowing)
 from postflock.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +71,23 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(read_table(spark, folder, "documents"))
 
 
+@query("op11_fill_in_middle")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return infill.digest(read_table(spark, folder, "documents"))
+
+
+@query("op12_byte_bpe")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_pairs.digest(read_table(spark, folder, "documents"))
+
+
+@query("op13_prefix_trie")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.nodes_report(read_table(spark, folder, "conversations"))
+
+
 SQL["op3_ngram_jaccard"] = jaccard.SQL
 SQL["op7_url_lists"] = url_lists.SQL
 SQL["op10_secret_scan"] = secrets.digest_sql()
+SQL["op11_fill_in_middle"] = infill.SQL
+SQL["op13_prefix_trie"] = prefix_trie.SQL
