@@ -24,17 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postflock.llm.common import bound_batches, texts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-BLOCK_BYTES = 32 << 20
-DECODED_BYTES = 8 << 20
-SLICE_WORDS = 1_000_000
+BLOCK_BYTES = 12 << 20
+DECODED_BYTES = 2 << 20
+SLICE_WORDS = 250_000
 LEAST_BUCKETS = 32
 SPACE, LETTER, NUMBER, OTHER = range(4)
 STAND_INS = {SPACE: " ", LETTER: "z", NUMBER: "1", OTHER: "!"}
@@ -157,64 +159,86 @@ class Block:
     """
 
     def __init__(self) -> None:
-        self._chunks = _Numbered()
-        self._texts: list[str] = []
-        self._runs: list[np.ndarray] = []
         self.docs: list[str | None] = []
+        self._texts: list[pa.Array] = []
         self.bytes = 0
 
-    def _run(self, parts: list[str]) -> np.ndarray:
-        """Numbers of the chunks; the first of a text, which no space precedes, goes by another key."""
-        first = self._chunks[(parts[0],)]
-        run = np.fromiter(map(self._chunks.__getitem__, parts[1:]), dtype=np.int32, count=len(parts) - 1)
-        return np.concatenate(([first], run), dtype=np.int32)
-
-    def add(self, doc: str | None, text: str) -> None:
-        self.docs.append(doc)
-        self._texts.append(text)
-        self._runs.append(self._run(text.split(" ")))
-        self.bytes += len(text)
-
-    def _mended(self) -> None:
+    def add(self, docs: pa.Array, texts_: pa.Array) -> None:
+        self.docs.extend(docs.to_pylist())
+        self._texts.append(texts_.cast(pa.large_string()))
+        self.bytes += texts_.nbytes
+
+    def _chunks(self) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Different chunks; all texts as places in that list; chunks per text. A first chunk, which no space
+        precedes, is another chunk than the same one behind a space, and the others begin with their space."""
+        whole = pa.concat_arrays(self._texts)
+        split = pc.split_pattern(whole, " ")
+        coded = split.flatten().dictionary_encode()
+        keys = coded.dictionary.to_pylist()
+        run = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        edges = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        begins = np.array([bool(k) and not k[0].isspace() for k in keys], dtype=bool)
+        ends = np.array([bool(k) and not k[-1].isspace() for k in keys], dtype=bool)
+        whole_cut = ends[run[:-1]] & begins[run[1:]]
+        whole_cut[edges[1:-1] - 1] = True
+        firsts, place = np.unique(run[edges[:-1]], return_inverse=True)
+        run[edges[:-1]] = len(keys) + place
+        chunks = [" " + k for k in keys] + [keys[i] for i in firsts.tolist()]
+        odd = np.unique(np.searchsorted(edges, np.flatnonzero(~whole_cut), side="right") - 1).tolist()
+        return self._mended(whole, chunks, run, edges, odd) if odd else (chunks, run, np.diff(edges))
+
+    @staticmethod
+    def _mended(whole: pa.Array, chunks: list[str], run: np.ndarray, edges: np.ndarray, odd: list[int]):
         """Texts with a space that must not be cut at get longer chunks there."""
-        keys = [k[0] if isinstance(k, tuple) else k for k in self._chunks]
-        begins = np.array([bool(k) and not k[0].isspace() for k in keys])
-        ends = np.array([bool(k) and not k[-1].isspace() for k in keys])
-        for i, run in enumerate(self._runs):
-            if (ends[run[:-1]] & begins[run[1:]]).all():
-                continue
+        known, runs, low = _Numbered(), [], 0
+        for i in odd:
             parts: list[list[str]] = []
             last = ""
-            for part in self._texts[i].split(" "):
+            for part in whole[i].as_py().split(" "):
                 if parts and not _apart(last, part):
                     parts[-1].append(part)
                 else:
                     parts.append([part])
                 last = part or " "
-            self._runs[i] = self._run([" ".join(p) for p in parts])
+            joined = [" " * (j > 0) + " ".join(p) for j, p in enumerate(parts)]
+            runs += [run[low:edges[i]], np.array([len(chunks) + known[c] for c in joined], dtype=np.int64)]
+            low = edges[i + 1]
+        counts = np.diff(edges)
+        counts[odd] = [r.size for r in runs[1::2]]
+        return chunks + list(known), np.concatenate([*runs, run[low:]]), counts
 
     def words(self, splitter: Splitter) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The distinct words, the most frequent first; the running text as places in that list; words per text."""
-        self._mended()
-        words, flat, counts = _Numbered(), [], []
-        for key in self._chunks:
-            found = splitter.words(key[0] if isinstance(key, tuple) else " " + key)
-            flat.extend(map(words.__getitem__, found))
-            counts.append(len(found))
-        flat, counts = np.array(flat, dtype=np.int32), np.array(counts, dtype=np.int64)
+        chunks, run, per_text = self._chunks()
+        words, flat, counts = _Numbered(), [], np.ones(len(chunks), dtype=np.int64)
+        for i, chunk in enumerate(chunks):
+            if chunk.isascii() and chunk[1:].isalpha() and (chunk[0] == " " or chunk.isalpha()):
+                flat.append(words[chunk])
+            else:
+                found = splitter.words(chunk)
+                flat.extend(map(words.__getitem__, found))
+                counts[i] = len(found)
+        flat = np.array(flat, dtype=np.int32)
         starts = np.cumsum(counts) - counts
-        sizes = np.array([counts[run].sum() for run in self._runs], dtype=np.int64)
-        running = [flat[laid_out(starts[run], counts[run])] for run in self._runs]
-        running = np.concatenate(running) if running else np.zeros(0, dtype=np.int32)
-        order = np.argsort(-np.bincount(running, minlength=len(words)), kind="stable")
+        passed = np.concatenate(([0], np.cumsum(counts[run])))
+        sizes = np.diff(passed[np.concatenate(([0], np.cumsum(per_text)))])
+        seen = np.bincount(run, minlength=len(chunks))
+        running = np.concatenate([flat[laid_out(starts[part], counts[part])] for part in np.array_split(
+            run, 1 + run.size // SLICE_WORDS)])
+        order = np.argsort(-np.bincount(flat, weights=np.repeat(seen, counts), minlength=len(words)), kind="stable")
         rank = np.empty(len(words), dtype=np.int32)
         rank[order] = np.arange(len(words), dtype=np.int32)
         names = list(words)
-        return [names[i] for i in order], rank[running], sizes
+        return [names[i] for i in order.tolist()], rank[running], sizes
+
+
+BLOCKS_SCHEMA = pa.schema([
+    ("block", pa.string()), ("bucket", pa.int32()), ("first", pa.binary()), ("second", pa.binary()),
+    ("docs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64()))])
 
 
 def _explode(buckets: int, block_bytes: int, differing: dict[int, int]):
-    def rows(block: Block, splitter: Splitter, name: str) -> pd.DataFrame:
+    def rows(block: Block, splitter: Splitter, name: str) -> pa.RecordBatch:
         words, running, sizes = block.words(splitter)
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         bucket = np.fromiter((zlib.crc32(w) % buckets for w in raw), dtype=np.int64, count=len(raw))
@@ -223,17 +247,18 @@ def _explode(buckets: int, block_bytes: int, differing: dict[int, int]):
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
         for places in np.split(order, cuts) if order.size else []:
-            out.append((name, int(bucket[places[0]]), packed_words([raw[i] for i in places]), None, None, None))
-        return pd.DataFrame(out, columns=["block", "bucket", "first", "second", "docs", "sizes"])
+            out.append((name, int(bucket[places[0]]), packed_words([raw[i] for i in places.tolist()]), None, None, None))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(column, field.type) for column, field in zip(zip(*out), BLOCKS_SCHEMA)], schema=BLOCKS_SCHEMA)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, block, made, task = Splitter(differing), Block(), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for doc, text in zip(batch.doc, batch.text):
-                if block.docs and block.bytes + len(text) > block_bytes:
-                    yield rows(block, splitter, f"{task}-{made}")
-                    block, made = Block(), made + 1
-                block.add(doc, text)
+            if batch.num_rows:
+                block.add(batch.column(0), batch.column(1))
+            if block.bytes >= block_bytes:
+                yield rows(block, splitter, f"{task}-{made}")
+                block, made = Block(), made + 1
         if block.docs:
             yield rows(block, splitter, f"{task}-{made}")
     return run
@@ -323,7 +348,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, block_bytes: int = BLO
     bound_batches(spark)
     buckets = max(LEAST_BUCKETS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = texts(docs).select(F.col("doc_id").cast("string").alias("doc"), "text")
-    dealt = rows.mapInPandas(_explode(buckets, block_bytes, classes()), BLOCKS).repartition("bucket")
+    dealt = rows.mapInArrow(_explode(buckets, block_bytes, classes()), BLOCKS).repartition("bucket")
     answered = dealt.sortWithinPartitions("bucket").mapInPandas(_answer(vocabulary), BLOCKS)
     met = answered.repartition("block").sortWithinPartitions("block", "bucket")
     coded = met.mapInPandas(_reassemble(vocabulary), "doc string, ids binary")
@@ -362,6 +387,24 @@ def _explode_ids(size: int):
     return run
 
 
+class Pieces:
+    """Byte strings by number, laid out one after the other by numpy."""
+
+    def __init__(self, pieces: dict[int, bytes]) -> None:
+        keys = sorted(pieces)
+        self.keys = np.array(keys, dtype=np.int64)
+        self.sizes = np.array([len(pieces[k]) for k in keys], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.whole = np.frombuffer(b"".join(pieces[k] for k in keys), dtype=np.uint8)
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        parts = []
+        for low in range(0, ids.size, SLICE_WORDS):
+            at = np.searchsorted(self.keys, ids[low:low + SLICE_WORDS])
+            parts.append(self.whole[laid_out(self.starts[at], self.sizes[at])].tobytes())
+        return parts[0] if len(parts) == 1 else b"".join(parts)
+
+
 def _join_bytes(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A document is decoded when all tokens of its block have come; the join keeps a block in its task."""
@@ -369,18 +412,23 @@ def _join_bytes(size: int):
         waiting: list[tuple] = []
 
         def decoded(found: list[tuple]) -> pd.DataFrame:
-            out = [(doc, ids, b"".join(map(tables[block].__getitem__, numbers(ids, size).tolist()))) for block, _, doc, ids in found]
-            return pd.DataFrame(out, columns=["doc", "ids", "decoded"])
+            own = {b: (Pieces(tables[b]), Pieces({k: f"{k},".encode() for k in tables[b]})) for b in {f[0] for f in found}}
+            out = []
+            for block, _, doc, ids in found:
+                read = numbers(ids, size)
+                pieces, decimals = own[block]
+                out.append((doc, ids, pieces.joined(read), hashlib.sha256(decimals.joined(read)[:-1]).hexdigest()))
+            return pd.DataFrame(out, columns=["doc", "ids", "decoded", "ids_sha256"])
 
         for batch in batches:
             for block, number, needed, doc, ids, token in batch.itertuples(index=False, name=None):
-                if ids is None:
-                    if token is None:
-                        raise ValueError(f"id {int(number)} is not in the vocabulary")
-                    tables.setdefault(block, {})[int(number)] = token
-                else:
-                    tables.setdefault(block, {})
+                table = tables.setdefault(block, {})
+                if ids is not None:
                     waiting.append((block, int(needed), doc, ids))
+                elif token is None:
+                    raise ValueError(f"id {int(number)} is not in the vocabulary")
+                else:
+                    table[int(number)] = token
             ready = [w for w in waiting if len(tables[w[0]]) == w[1]]
             waiting = [w for w in waiting if len(tables[w[0]]) < w[1]]
             yield decoded(ready)
@@ -392,38 +440,21 @@ def _join_bytes(size: int):
 
 
 def decode(coded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, ids, decoded) per row of ``coded(doc_id, ids)``: the bytes that the ids stand for. Null ids count as
-    none; an id outside the vocabulary is an error."""
+    """(doc_id, ids, decoded, ids_sha256) per row of ``coded(doc_id, ids)``: the bytes that the ids stand for, and the
+    SHA-256 of the decimal ids joined by commas, made in the same pass. Null ids count as none; an id outside the
+    vocabulary is an error."""
     bound_batches(coded.sparkSession)
     size = width(vocabulary)
     rows = coded.select(F.col("doc_id").cast("string").alias("doc"), F.coalesce("ids", F.lit(b"")).alias("ids"))
     parts = rows.mapInPandas(_explode_ids(size), PARTS)
     joined = parts.join(F.broadcast(token_bytes(coded.sparkSession, vocabulary)), "id", "left")
     found = joined.select("block", "id", "needed", "doc", "ids", "token").mapInPandas(
-        _join_bytes(size), "doc string, ids binary, decoded binary")
-    return found.select(F.col("doc").cast(coded.schema["doc_id"].dataType).alias("doc_id"), "ids", "decoded")
-
-
-def ids_sha256(ids: Column | str, vocabulary: str = VOCABULARY) -> Column:
-    """SHA-256 of the decimal ids, joined by commas."""
-
-    @F.pandas_udf("string")
-    def run(packed_ids: pd.Series) -> pd.Series:
-        size = width(vocabulary)
-        names = _names(max(ranks(vocabulary).values()) + 1)
-        return packed_ids.map(lambda x: hashlib.sha256(
-            ",".join(map(names.__getitem__, numbers(x, size).tolist())).encode()).hexdigest())
-
-    return run(ids)
-
-
-@functools.lru_cache(maxsize=2)
-def _names(count: int) -> list[str]:
-    return list(map(str, range(count)))
+        _join_bytes(size), "doc string, ids binary, decoded binary, ids_sha256 string")
+    return found.select(F.col("doc").cast(coded.schema["doc_id"].dataType).alias("doc_id"), "ids", "decoded", "ids_sha256")
 
 
 def digest(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """The ids of all texts, and the bytes they decode to, as hashes."""
     return decode(encode(docs, vocabulary), vocabulary).select(
-        "doc_id", F.floor(F.length("ids") / width(vocabulary)).alias("n_tokens"),
-        ids_sha256("ids", vocabulary).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+        "doc_id", F.floor(F.length("ids") / width(vocabulary)).alias("n_tokens"), "ids_sha256",
+        F.sha2("decoded", 256).alias("decoded_sha256"))
