@@ -99,10 +99,10 @@ class Splitter:
 
         self._find = regex.compile(public_tokenizers.PATTERN)
         self._stands = {c: STAND_INS[kind] for c, kind in differing.items()}
-        self._odd = regex.compile("[" + "".join(f"\\U{c:08x}" for c in differing) + "]") if differing else None
+        self._differing = frozenset(map(chr, differing))
 
     def words(self, text: str) -> list[str]:
-        if text.isascii() or self._odd is None or not self._odd.search(text):
+        if text.isascii() or self._differing.isdisjoint(text):
             return self._find.findall(text)
         return [text[m.start():m.end()] for m in self._find.finditer(text.translate(self._stands))]
 
