@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from postflock.llm.common import bound_batches, texts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 10 << 20
 DECODED_BYTES = 2 << 20
 SLICE_WORDS = 250_000
 LEAST_BUCKETS = 32
@@ -165,13 +165,15 @@ class Block:
 
     def add(self, docs: pa.Array, texts_: pa.Array) -> None:
         self.docs.extend(docs.to_pylist())
-        self._texts.append(texts_.cast(pa.large_string()))
+        self._texts.append(texts_)
         self.bytes += texts_.nbytes
 
     def _chunks(self) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Different chunks; all texts as places in that list; chunks per text. A first chunk, which no space
         precedes, is another chunk than the same one behind a space, and the others begin with their space."""
-        whole = pa.concat_arrays(self._texts)
+        kind = pa.string() if self.bytes < 1 << 30 else pa.large_string()
+        whole = pa.concat_arrays([t.cast(kind) for t in self._texts])
+        self._texts = []
         split = pc.split_pattern(whole, " ")
         coded = split.flatten().dictionary_encode()
         keys = coded.dictionary.to_pylist()
@@ -183,7 +185,10 @@ class Block:
         whole_cut[edges[1:-1] - 1] = True
         firsts, place = np.unique(run[edges[:-1]], return_inverse=True)
         run[edges[:-1]] = len(keys) + place
-        chunks = [" " + k for k in keys] + [keys[i] for i in firsts.tolist()]
+        chunks = [keys[i] for i in firsts.tolist()]
+        for i, key in enumerate(keys):
+            keys[i] = " " + key
+        chunks = keys + chunks
         odd = np.unique(np.searchsorted(edges, np.flatnonzero(~whole_cut), side="right") - 1).tolist()
         return self._mended(whole, chunks, run, edges, odd) if odd else (chunks, run, np.diff(edges))
 
@@ -259,6 +264,7 @@ def _explode(buckets: int, block_bytes: int, differing: dict[int, int]):
             if block.bytes >= block_bytes:
                 yield rows(block, splitter, f"{task}-{made}")
                 block, made = Block(), made + 1
+                pa.default_memory_pool().release_unused()
         if block.docs:
             yield rows(block, splitter, f"{task}-{made}")
     return run
@@ -324,8 +330,8 @@ def _laid(block: list[tuple], size: int) -> Iterator[pd.DataFrame]:
         low = high
 
 
-def _reassemble(vocabulary: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _reassemble(vocabulary: str, then=iter):
+    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         size, held = width(vocabulary), []
         for batch in batches:
             for row in batch.itertuples(index=False, name=None):
@@ -335,23 +341,28 @@ def _reassemble(vocabulary: str):
                 held.append(row)
         if held:
             yield from _laid(held, size)
-    return run
 
+    return lambda batches: then(coded(batches))
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, ids) per row of ``docs``: the ids packed, ``width`` bytes each, little-endian.
 
-    A null or empty text has no ids. Null and repeated ids and repeated rows come out each; an empty table gives no
-    rows; other columns are not read. A very long text is a block of its own.
-    """
+def _met(docs: DataFrame, vocabulary: str, block_bytes: int) -> DataFrame:
+    """The rows of every block, with the answers to its words, one after the other."""
     spark = docs.sparkSession
     bound_batches(spark)
     buckets = max(LEAST_BUCKETS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = texts(docs).select(F.col("doc_id").cast("string").alias("doc"), "text")
     dealt = rows.mapInArrow(_explode(buckets, block_bytes, classes()), BLOCKS).repartition("bucket")
     answered = dealt.sortWithinPartitions("bucket").mapInPandas(_answer(vocabulary), BLOCKS)
-    met = answered.repartition("block").sortWithinPartitions("block", "bucket")
-    coded = met.mapInPandas(_reassemble(vocabulary), "doc string, ids binary")
+    return answered.repartition("block").sortWithinPartitions("block", "bucket")
+
+
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, ids) per row of ``docs``: the ids packed, ``width`` bytes each, little-endian.
+
+    A null or empty text has no ids. Null and repeated ids and repeated rows come out each; an empty table gives no
+    rows; other columns are not read. A very long text is a block of its own.
+    """
+    coded = _met(docs, vocabulary, block_bytes).mapInPandas(_reassemble(vocabulary), "doc string, ids binary")
     return coded.select(F.col("doc").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "ids")
 
 
@@ -439,22 +450,32 @@ def _join_bytes(size: int):
     return run
 
 
+def _decoded(parts: DataFrame, vocabulary: str, kind: str) -> DataFrame:
+    joined = parts.join(F.broadcast(token_bytes(parts.sparkSession, vocabulary)), "id", "left")
+    found = joined.select("block", "id", "needed", "doc", "ids", "token").mapInPandas(
+        _join_bytes(width(vocabulary)), "doc string, ids binary, decoded binary, ids_sha256 string")
+    return found.select(F.col("doc").cast(kind).alias("doc_id"), "ids", "decoded", "ids_sha256")
+
+
 def decode(coded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids, decoded, ids_sha256) per row of ``coded(doc_id, ids)``: the bytes that the ids stand for, and the
     SHA-256 of the decimal ids joined by commas, made in the same pass. Null ids count as none; an id outside the
     vocabulary is an error."""
     bound_batches(coded.sparkSession)
-    size = width(vocabulary)
     rows = coded.select(F.col("doc_id").cast("string").alias("doc"), F.coalesce("ids", F.lit(b"")).alias("ids"))
-    parts = rows.mapInPandas(_explode_ids(size), PARTS)
-    joined = parts.join(F.broadcast(token_bytes(coded.sparkSession, vocabulary)), "id", "left")
-    found = joined.select("block", "id", "needed", "doc", "ids", "token").mapInPandas(
-        _join_bytes(size), "doc string, ids binary, decoded binary, ids_sha256 string")
-    return found.select(F.col("doc").cast(coded.schema["doc_id"].dataType).alias("doc_id"), "ids", "decoded", "ids_sha256")
+    return _decoded(rows.mapInPandas(_explode_ids(width(vocabulary)), PARTS), vocabulary,
+                    coded.schema["doc_id"].dataType.simpleString())
+
+
+def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``decode(encode(docs))``, where the task that lays out the ids also explodes them."""
+    parts = _met(docs, vocabulary, block_bytes).mapInPandas(
+        _reassemble(vocabulary, _explode_ids(width(vocabulary))), PARTS)
+    return _decoded(parts, vocabulary, docs.schema["doc_id"].dataType.simpleString())
 
 
 def digest(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """The ids of all texts, and the bytes they decode to, as hashes."""
-    return decode(encode(docs, vocabulary), vocabulary).select(
+    return round_trip(docs, vocabulary).select(
         "doc_id", F.floor(F.length("ids") / width(vocabulary)).alias("n_tokens"), "ids_sha256",
         F.sha2("decoded", 256).alias("decoded_sha256"))
