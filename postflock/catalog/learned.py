@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from postflock.catalog.registry import WORD, entry, q6, r6
 from postflock.catalog.weights import author_posts
-from postflock.operators import lexicon as lx, tfidf as ti
+from postflock.operators import lexicon as lx, similarity as sm, tfidf as ti
 from postflock.plans import cluster as cl, recommend as rc, tags as tg
 from postflock.session import cut_lineage
 
@@ -140,13 +140,15 @@ def content_clusters(t):
 
 @entry("r16_sim_network")
 def similarity_network(t):
-    """Edges between users of like texts, with the clusters of both ends."""
+    """Edges between classes of users with equal texts, and each further user with its class, with the clusters of
+    both ends and the number of users that the first of them is linked with."""
     posts = t.posts
     found = cl.content_clusters(posts).select("user_id", "cluster")
-    pairs = ti.similar_pairs(cl.text_weights(posts))
+    network = sm.similar(cl.text_weights(posts))
     return (
-        pairs.join(found.toDF("a", "cluster_a"), "a").join(found.toDF("b", "cluster_b"), "b")
-        .select("a", "b", r6("weight", "weight"), "cluster_a", "cluster_b")
+        network.links().join(found.toDF("a", "cluster_a"), "a").join(found.toDF("b", "cluster_b"), "b")
+        .join(network.degrees().toDF("a", "links_a"), "a")
+        .select("a", "b", r6("weight", "weight"), "cluster_a", "cluster_b", "links_a")
     )
 
 

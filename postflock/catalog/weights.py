@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from postflock.catalog.registry import WORD, entry, q6, r6
 from postflock.functions.stopwords import ENGLISH
-from postflock.operators import tfidf as ti
+from postflock.operators import similarity as sm, tfidf as ti
 from postflock.plans import cluster as cl, recommend as rc
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH)
@@ -85,15 +85,20 @@ def content_topk(t):
 
 
 _PAIRS = f"""
-WITH w AS MATERIALIZED ({TEXT100})
+WITH w AS MATERIALIZED ({TEXT100}),
+v AS (SELECT doc, list(struct_pack(term := term, w := round(w, 9)) ORDER BY term) AS key FROM w GROUP BY doc),
+m AS MATERIALIZED (SELECT doc, min(doc) OVER (PARTITION BY key) AS cls FROM v)
 SELECT x.doc AS a, y.doc AS b, sum(x.w * y.w) AS weight FROM w x JOIN w y USING (term)
-WHERE x.doc < y.doc GROUP BY 1, 2 HAVING sum(x.w * y.w) > 0.3"""
+WHERE x.doc < y.doc AND x.doc IN (SELECT cls FROM m) AND y.doc IN (SELECT cls FROM m)
+GROUP BY 1, 2 HAVING sum(x.w * y.w) > 0.3
+UNION ALL SELECT cls, doc, 1.0 FROM m WHERE doc <> cls"""
 
 
 @entry("j9_similarity_pairs", f"SELECT a, b, {q6('weight')} AS weight FROM ({_PAIRS})")
 def similarity_pairs(t):
-    weights = ti.tfidf(t.text_posts, "author", max_features=100)
-    return ti.similar_pairs(weights).select("a", "b", r6("weight", "weight"))
+    """Pairs of classes of equal vectors, and each further member with its class."""
+    found = sm.similar(ti.tfidf(t.text_posts, "author", max_features=100))
+    return found.links().select("a", "b", r6("weight", "weight"))
 
 
 _USER_TERMS = tfidf_sql(USERS, max_features=100)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postflock.functions.stopwords import ENGLISH
 from postflock.functions import text as tx
-from postflock.session import cut_lineage
+from postflock.operators.similarity import similar
 
 
 def term_counts(
@@ -66,43 +66,9 @@ def tfidf(
 
 
 def similar_pairs(weights: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """(a, b, weight) with a < b and cosine above ``threshold``, for unit vectors.
-
-    Exact prefix filter (Bayardo, Ma and Srikant): terms stand in one order, rare first, and each
-    vector is cut where the length of the rest falls below the threshold. Two vectors above it
-    must share a term that both kept, so the frequent terms make no candidates.
-    """
-    # Used five times below and small next to the texts behind it.
-    weights = cut_lineage(weights)
-    df = weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # Vectors are bounded by max_features, so the window group is bounded too.
-    rest = (
-        Window.partitionBy("doc").orderBy(F.desc("df"), F.desc("term"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    kept = (
-        weights.join(df, "term")
-        .withColumn("_rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest)))
-        # A hair below the threshold, so that rounding cannot lose a pair.
-        .filter(F.col("_rest") >= threshold * (1 - 1e-9)).select("doc", "term")
-    )
-    candidates = (
-        kept.select(F.col("doc").alias("a"), "term")
-        .join(kept.select(F.col("doc").alias("b"), "term"), "term")
-        .filter(F.col("a") < F.col("b")).select("a", "b").distinct()
-    )
-    vectors = weights.groupBy("doc").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v")
-    )
-    both = (
-        candidates.join(vectors.select(F.col("doc").alias("a"), F.col("v").alias("va")), "a")
-        .join(vectors.select(F.col("doc").alias("b"), F.col("v").alias("vb")), "b")
-    )
-    dot = F.aggregate(
-        F.map_entries("va"), F.lit(0.0),
-        lambda s, e: s + e["value"] * F.coalesce(F.col("vb")[e["key"]], F.lit(0.0)),
-    )
-    return both.select("a", "b", dot.alias("weight")).filter(F.col("weight") > threshold)
+    """(a, b, weight) with a < b and cosine above ``threshold``, for unit vectors. Of equal vectors the least document
+    stands for all; each of the others has a row with it."""
+    return similar(weights, threshold).links()
 
 
 def mean_vector(weights: DataFrame, owners: DataFrame, owner: str) -> DataFrame:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postflock.operators import overlap as ov, tfidf as ti
+from postflock.operators import blocks as bl, dbscan as db, similarity as sm
 from postflock.operators.dbscan import dbscan
 from postflock.operators.quantile import exact_quantile
 from postflock.operators.ranking import (
@@ -236,3 +237,76 @@ def test_candidates_with_a_busy_author(spark):
         lists[r.me].append(r.item)
     for me in range(7):
         assert lists[me] == [p for p, u, _ in reversed(posts) if u != me][:10]
+
+
+def _unit_rows(rng, n, copies):
+    vectors = []
+    for _ in range(n):
+        w = rng.random(10) * (rng.random(10) < 0.4)
+        w[0] = 0.3
+        vectors.append(w / np.linalg.norm(w))
+    vectors += [vectors[i % 5] for i in range(copies)]
+    return vectors, [(d, f"t{i:02}", float(x)) for d, v in enumerate(vectors) for i, x in enumerate(v) if x > 0]
+
+
+@pytest.mark.parametrize("block_rows", [7, 2000])
+def test_similar_classes(spark, block_rows):
+    """Copies are members, not pairs; one term stands in every vector."""
+    vectors, rows = _unit_rows(np.random.default_rng(4), 60, 40)
+    found = sm.similar(spark.createDataFrame(rows, "doc long, term string, w double"), 0.6, block_rows)
+    members = dict(found.members.collect())
+    assert members == {d: next(i for i, v in enumerate(vectors) if np.allclose(v, vectors[d], atol=1e-12)) for d in range(100)}
+    first = sorted(set(members.values()))
+    expected = {(a, b): vectors[a] @ vectors[b] for a in first for b in first if a < b and vectors[a] @ vectors[b] > 0.6}
+    pairs = {(r.a, r.b): r.weight for r in found.pairs.collect()}
+    assert pairs.keys() == expected.keys() and all(math.isclose(pairs[p], expected[p], abs_tol=1e-12) for p in pairs)
+    linked = {d: sum(vectors[d] @ v > 0.6 for v in vectors) - 1 for d in range(100)}
+    assert dict(found.degrees().collect()) == linked
+    best = [(r.cls, r.other) for r in found.strongest(2).collect()]
+    for a in first:
+        near = sorted((-w, x + y - a) for (x, y), w in expected.items() if a in (x, y))[:2]
+        assert sorted(o for c, o in best if c == a) == sorted(o for _, o in near)
+
+
+def test_a_term_of_all_vectors_is_dealt(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc"), F.lit("all").alias("term"), F.lit(0.2).alias("w"),
+                                    F.lit(0.5).alias("after"), F.array().cast("array<string>").alias("before"))
+    left, right, keys = bl.dealt_sides(rows, rows, ["term"], F.col("doc"), F.col("doc"), 100)
+    most = [s.groupBy(*keys).count().agg(F.max("count"), F.count("*")).first() for s in (left, right)]
+    assert all(m[0] <= 200 and m[1] == 900 for m in most)
+    assert sm.candidates(rows, 0.3).count() == 0 and sm.candidates(rows, 0.29, 100).count() == 3000 * 2999 // 2
+
+
+def test_matched_to_few_keeps_every_row(spark):
+    rows = spark.range(5000).select("id", F.when(F.col("id") < 3000, -1).otherwise(F.col("id")).alias("k"))
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"))
+    found = bl.matched_to_few(rows, groups, "k", "n").collect()
+    assert len(found) == 5000 and {r.n for r in found if r.k == -1} == {3000}
+
+
+@pytest.mark.parametrize("least", [3, 6])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_dbscan_with_dense_cells(spark, seed, least):
+    """Piles, touching piles, points just inside and outside their reach, and copies."""
+    rng = np.random.default_rng(seed)
+    points = np.concatenate([
+        rng.normal(0, 0.04, (60, 2)), rng.normal([0.55, 0], 0.05, (50, 2)), rng.normal([1.5, 1.5], 0.3, (80, 2)),
+        rng.uniform(-2, 3, (60, 2)), np.repeat([[2.5, -1.5]], 7, axis=0), [[2.5, -1.0], [2.5, -0.99], [2.99, -1.5]],
+        np.linspace([-1.9, 2.0], [-1.0, 2.9], 8)])
+    rows = [(i, [float(x) for x in p], [float(x) for x in p]) for i, p in enumerate(points)]
+    frame = spark.createDataFrame(rows, "id long, v array<double>, p array<double>")
+    found = {r.id: r.cluster for r in dbscan(frame, 0.5, least, 2).collect()}
+    assert [found[i] for i in range(len(points))] == brute_dbscan(points, 0.5, least)
+
+
+def test_dbscan_of_a_full_cell_compares_few(spark, monkeypatch):
+    """100,000 points within one cell, and some around: nothing is compared inside the cell."""
+    seen, cut = [], db.cut_lineage
+    monkeypatch.setattr(db, "cut_lineage", lambda df: (seen.append(kept := cut(df)), kept)[1])
+    pile = spark.range(100_000).select("id", F.array(0.05 + F.rand(3) / 10, 0.05 + F.rand(4) / 10).alias("v"))
+    ring = spark.createDataFrame([(200_000 + i, [0.1 + x, 0.1 + y]) for i, (x, y) in enumerate(
+        [(0.3, 0.0), (0.0, 0.45), (0.9, 0.0), (5.0, 5.0)])], "id long, v array<double>")
+    frame = pile.unionByName(ring).withColumn("p", F.col("v"))
+    found = dbscan(frame, 0.5, 4, 2).groupBy("cluster").count().collect()
+    assert sorted(map(tuple, found)) == [(-1, 2), (0, 100_002)]
+    assert max(df.count() for df in seen) <= 100_010
