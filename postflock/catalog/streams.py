@@ -1,5 +1,6 @@
 """Streaming jobs run once over the tables as files, then read back."""
 
+from pyspark.sql import functions as F
 
 from postflock.catalog.registry import entry, qstamp, stamp
 from postflock.operators.lexicon import default_lexicon
@@ -23,13 +24,50 @@ def intake(t):
     return t.spark.read.parquet(f"{root}/out/posts").select("user_id", "text")
 
 
+FILES = 5
+
+
+def _arrivals(t, posts):
+    """The posts as five files in order of time, one post in ten twelve hours late, and one in seven once more in the
+    next file: rows as a source may deliver them."""
+    seconds = F.col("ts").cast("double")
+    ends = posts.agg(F.min(seconds).alias("low"), F.max(seconds).alias("high"))
+    late = F.when(F.col("post_id") % 10 == 0, 43_200).otherwise(0)
+    place = F.least(F.floor((seconds + late - F.col("low")) * FILES / (F.col("high") - F.col("low") + 1)), F.lit(FILES - 1))
+    rows = posts.crossJoin(F.broadcast(ends)).withColumn("_file", place)
+    again = rows.filter(F.col("post_id") % 7 == 0).withColumn("_file", F.least(F.col("_file") + 1, F.lit(FILES - 1)))
+    rows = rows.unionByName(again).persist()
+    root = work_dir(t.spark, "stream")
+    for i in range(FILES):
+        rows.filter(F.col("_file") == i).select(*posts.columns).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    rows.unpersist()
+    return root, live.read_posts(t.spark, f"{root}/in", posts.schema, 1)
+
+
 @entry("st2_trending", f"""
+WITH e AS (SELECT min(epoch(ts)) AS low, max(epoch(ts)) AS high FROM posts),
+a AS (SELECT post_id, ts, date_trunc('hour', ts) AS hour, CAST(least({FILES - 1}, floor(
+  (epoch(ts) + CASE WHEN post_id % 10 = 0 THEN 43200 ELSE 0 END - low) * {FILES} / (high - low + 1))) AS BIGINT) AS file FROM posts, e),
+b AS (SELECT batch, max(hour) AS as_of FROM a, range({FILES}) r(batch) WHERE file <= batch GROUP BY batch),
+c AS (SELECT b.batch, as_of, tag, count(*) AS n FROM b JOIN a ON file <= b.batch AND hour > as_of - INTERVAL 24 HOUR
+  JOIN post_tags USING (post_id) GROUP BY 1, 2, 3)
+SELECT batch, {qstamp('as_of')} AS as_of, rank, tag, n AS "count" FROM (
+  SELECT *, row_number() OVER (PARTITION BY batch ORDER BY n DESC, tag) AS rank FROM c) WHERE rank <= 10""")
+def trending(t):
+    """The ranking after each micro-batch."""
+    root, stream = _arrivals(t, t.posts)
+    live.start_ranking(stream, f"{root}/out", f"{root}/state").awaitTermination()
+    found = t.spark.read.parquet(f"{root}/out/ranking")
+    return found.select(F.col("batch").cast("long").alias("batch"), stamp("as_of", "as_of"), "rank", "tag", "count")
+
+
+@entry("st2_windows", f"""
 WITH h AS (SELECT post_id, tag, ts, date_trunc('hour', ts) AS hour FROM post_tags),
 w AS (SELECT tag, hour - to_hours(CAST(k AS BIGINT)) AS start FROM h, range(24) r(k)),
 late AS (SELECT t - INTERVAL 1 HOUR AS mark FROM latest)
 SELECT {qstamp('start')} AS start, tag, count(*) AS "count" FROM w, late
 WHERE start + INTERVAL 24 HOUR <= mark GROUP BY start, tag""")
-def trending(t):
+def windows(t):
     root, stream = _stream(t, t.posts)
     live.start_trending(stream, f"{root}/out", f"{root}/state").awaitTermination()
     return t.spark.read.parquet(f"{root}/out").select(stamp("start", "start"), "tag", "count")

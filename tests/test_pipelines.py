@@ -1,5 +1,7 @@
 """Ingest, sentiment, profiles, saved analyses and streams on literal rows."""
 
+import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,7 +11,7 @@ from postflock.operators import lexicon as lx, tfidf as ti
 from postflock.plans import cluster as cl, graph as gr, ingest as ig, recommend as rc, report as rp, stats as st, tags as tg
 from postflock.schema import LEXICON
 from postflock.sources import analyses, raw_csv
-from postflock.streaming import live
+from postflock.streaming import live, stored
 
 NOW = datetime(2024, 1, 1)
 GOLDEN = [
@@ -211,3 +213,66 @@ def test_streams_equal_batch(spark, golden, tmp_path):
     expected = batch.filter(F.col("end") <= F.lit(mark)).collect()
     found = spark.read.schema(batch.schema).parquet(f"{tmp_path}/rank").collect() if expected else []
     assert sorted(map(tuple, found)) == sorted(map(tuple, expected))
+
+
+def _posts(rows):
+    return [(i, u, t, NOW + timedelta(hours=h)) for i, u, t, h in rows]
+
+
+POST = "post_id long, user_id string, text string, ts timestamp"
+
+
+def test_a_repeat_is_dropped_however_late_it_comes(spark, tmp_path):
+    """Batches days apart, one of them run twice, some across a merge of the filter."""
+    store = live.intake_batch(f"{tmp_path}/out", lx.default_lexicon(spark))
+    taken, expected = set(), {}
+    for number in range(stored.MERGE_EVERY + 2):
+        rows = [(100 * number + i, f"u{i % 3}", f"text {(number * 5 + i) % 23}", 90 * number) for i in range(6)]
+        rows += [(100 * number + 50, "u0", "text 0", 90 * number), (100 * number + 51, "u0", "", 0)] * 2
+        batch = spark.createDataFrame(_posts(rows), POST)
+        for _ in range(2 if number in (0, 4, stored.MERGE_EVERY - 1) else 1):
+            store(batch, number)
+        expected[number] = {(u, t) for _, u, t, _ in rows if t} - taken
+        taken |= expected[number]
+    found = spark.read.parquet(f"{tmp_path}/out/posts").collect()
+    assert len(found) == len(taken)
+    for number, keys in expected.items():
+        assert {(r.user_id, r.text) for r in found if r.batch == number} == keys
+    assert spark.read.parquet(f"{tmp_path}/out/seen/keys").count() == len(taken)
+
+
+def test_a_full_filter_only_costs_lookups(spark, tmp_path):
+    seen = stored.SeenKeys(spark, f"{tmp_path}/seen", ranges=4, bitmaps=1)
+    frame = lambda a, b: spark.range(a, b).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("key"))
+    assert seen.known(frame(0, 5), 0).count() == 0
+    seen.take(frame(0, 40_000), 0)
+    assert seen.known(frame(39_990, 40_010), 1).count() == 10
+    assert seen.known(frame(39_990, 40_010), 0).count() == 0
+
+
+def test_ranking_is_current_after_each_batch(spark, tmp_path):
+    """Late posts, repeated posts and repeated files against a count over all that came so far."""
+    rng = random.Random(6)
+    posts = [(i, "u", f"#t{rng.randint(0, 6)} #all", round(i / 9 - rng.choice([0, 0, 0, 3, 20]), 2)) for i in range(360)]
+    files = [posts[k:k + 60] + rng.sample(posts[max(0, k - 60):k + 60], 8) for k in range(0, 360, 60)]
+    files.insert(3, files[2])
+    for rows in files:
+        spark.createDataFrame(_posts(rows), POST).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = live.read_posts(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, 1)
+        live.start_ranking(stream, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+        so_far = {p[0]: p for f in files[:files.index(rows) + 1] for p in f}.values()
+        hour = lambda h: (NOW + timedelta(hours=h)).replace(minute=0, second=0, microsecond=0)
+        newest = max(hour(p[3]) for p in so_far)
+        counts = Counter(t for p in so_far if hour(p[3]) > newest - timedelta(hours=24) for t in p[2].replace("#", "").split())
+        expected = sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:10]
+        found = live.current_ranking(spark, f"{tmp_path}/out").orderBy("rank").collect()
+        assert [(r.tag, r["count"]) for r in found] == expected and {r.as_of for r in found} == {newest}
+
+
+def test_a_batch_of_counts_written_twice_changes_nothing(spark, tmp_path):
+    store = live.ranking_batch(f"{tmp_path}/out")
+    for number in (0, 0, 1, 1, 0):
+        rows = [(NOW.replace(minute=0, second=0, microsecond=0) + timedelta(hours=number), f"t{i}", i + number) for i in range(3)]
+        store(spark.createDataFrame(rows, "hour timestamp, tag string, count long"), number)
+    found = spark.read.parquet(f"{tmp_path}/out/ranking").filter("batch = 1").orderBy("rank").collect()
+    assert [(r.tag, r["count"]) for r in found] == [("t2", 5), ("t1", 3), ("t0", 1)]
