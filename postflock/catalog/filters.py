@@ -145,13 +145,17 @@ free AS (SELECT a.* FROM asked a
 SELECT u.user_id, coalesce(f.username, u.username) AS username, u.email, coalesce(f.bio, u.bio) AS bio
 FROM users u LEFT JOIN free f USING (user_id)""")
 def profile_update(t):
+    return ig.update_profiles(t.users, profile_updates(t))
+
+
+def profile_updates(t):
+    """Suppliers as users who ask for new names, some of them taken."""
     taken = F.concat(F.lit("Customer#00000000"), F.col("s_nationkey").cast("string"))
-    updates = t.table("supplier").select(
+    return t.table("supplier").select(
         F.col("s_suppkey").alias("user_id"),
         F.when(F.col("s_nationkey") < 5, taken).otherwise(F.col("s_name")).alias("username"),
         F.lit(None).cast("string").alias("email"), F.col("s_name").alias("bio"),
     )
-    return ig.update_profiles(t.users, updates)
 
 
 @entry("u4_unseen", """

@@ -2,11 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from postflock.catalog.registry import entry, joined, q6, r6
+import uuid
+
+from postflock.catalog.filters import _REQUESTS, follow_requests, profile_updates
+from postflock.catalog.registry import SQL, entry, joined, q6, qstamp, r6, stamp
 from postflock.operators.lexicon import default_lexicon
-from postflock.plans import ingest as ig, report as rp
+from postflock.plans import ingest as ig, report as rp, tags as tg
 from postflock.session import work_dir
-from postflock.sources import analyses, raw_csv, tables
+from postflock.sources import analyses, partitioned as pt, raw_csv, tables
 
 
 @entry("s1_read_raw_csv", """
@@ -96,3 +99,80 @@ def analysis(t):
         "cluster", "size", r6("avg_sentiment", "avg_sentiment"), joined("top_keywords", "top_keywords"),
         joined("top_hashtags", "top_hashtags"),
     )
+
+
+def _posts_by_day(t, frame):
+    return pt.posts_by_day(t.spark, work_dir(t.spark, "posts"), frame.schema).create(frame)
+
+
+@entry("p2_stored_by_day", f"""
+SELECT post_id, user_id, {qstamp('ts')} AS ts FROM posts, latest WHERE ts >= t - INTERVAL 24 HOUR""")
+def stored_last_day(t):
+    """P2 on posts stored by day: days before are not read."""
+    return pt.last_hours(_posts_by_day(t, t.posts), t.as_of).select("post_id", "user_id", stamp("ts", "ts"))
+
+
+@entry("r10_stored_by_day", """
+SELECT tag, count(*) AS "count" FROM post_tags, latest WHERE ts >= t - INTERVAL 24 HOUR
+GROUP BY tag ORDER BY count(*) DESC, tag LIMIT 10""")
+def stored_trending(t):
+    """R10 on tag links stored by day."""
+    recent = pt.last_hours(_posts_by_day(t, t.post_tags), t.as_of)
+    return tg.trending(recent, t.as_of)
+
+
+@entry("s3_bucketed_links", """
+SELECT tag, sentiment_label, count(*) AS posts FROM posts JOIN post_tags USING (post_id) GROUP BY 1, 2""")
+def bucketed_links(t):
+    """Posts and their links from tables in buckets of post_id, joined without a shuffle."""
+    mark, root = uuid.uuid4().hex, work_dir(t.spark, "bucketed")
+    posts = pt.store_bucketed(t.posts, f"posts_{mark}", f"{root}/posts")
+    links = pt.store_bucketed(t.post_tags.select("post_id", "tag"), f"links_{mark}", f"{root}/links")
+    return links.join(posts, "post_id").groupBy("tag", "sentiment_label").agg(F.count(F.lit(1)).alias("posts"))
+
+
+@entry("s9_stored_posts", """
+SELECT post_id, length(text) AS chars FROM text_posts WHERE length(text) BETWEEN 1 AND 280""")
+def stored_new_posts(t):
+    """New posts put into a table that holds a part of them already, twice."""
+    valid, _, _ = ig.new_posts(t.text_posts, default_lexicon(t.spark))
+    table = _posts_by_day(t, valid.filter(F.col("post_id") % 3 == 0))
+    for _ in range(2):
+        pt.add_posts(table, valid)
+    return table.rows().select("post_id", F.length("text").cast("long").alias("chars"))
+
+
+@entry("s10_stored_deletes", """
+SELECT post_id, user_id FROM posts p
+WHERE NOT EXISTS (SELECT 1 FROM reactions r WHERE r.post_id = p.post_id AND r.user_id = p.user_id)""")
+def stored_deletes(t):
+    table = _posts_by_day(t, t.posts)
+    for _ in range(2):
+        pt.remove_posts(table, t.reactions)
+    return table.rows().select("post_id", "user_id")
+
+
+@entry("s11_stored_follows", f"""
+SELECT * FROM (SELECT * FROM follows
+UNION
+SELECT q.* FROM {_REQUESTS} q WHERE follower_id <> followee_id
+ AND follower_id IN (SELECT user_id FROM users) AND followee_id IN (SELECT user_id FROM users))
+WHERE (follower_id, followee_id) NOT IN (SELECT (follower_id, followee_id) FROM {_REQUESTS} WHERE followee_id % 2 = 0)""")
+def stored_follows(t):
+    """All requests followed, then those to even users unfollowed, on a stored table."""
+    table = pt.by_shard(t.spark, work_dir(t.spark, "follows"), t.follows.schema, "follower_id").create(t.follows)
+    requests = follow_requests(t)
+    pt.add_follows(table, requests, t.users)
+    pt.remove_follows(table, requests.filter(F.col("followee_id") % 2 == 0))
+    return table.rows()
+
+
+@entry("p9_stored_profiles")
+def stored_profiles(t):
+    """P9 on users stored in shards."""
+    table = pt.by_shard(t.spark, work_dir(t.spark, "users"), t.users.schema, "user_id").create(t.users)
+    pt.update_profiles(table, profile_updates(t))
+    return table.rows()
+
+
+SQL["p9_stored_profiles"] = SQL["p9_profile_update"]
