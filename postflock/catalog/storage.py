@@ -71,9 +71,7 @@ def save_rows(t):
 @entry("s6_read_analysis", "SELECT DISTINCT user_id, username FROM posts JOIN users USING (user_id)")
 def read_analysis(t):
     _, done = _saved(t)
-    entries = analyses.by_cluster(analyses.read_analysis(t.spark, done.path))
-    pairs = F.arrays_zip("user_ids", "usernames")
-    return entries.select(F.inline(pairs)).toDF("user_id", "username")
+    return analyses.saved_members(t.spark, done.path).select("user_id", "username")
 
 
 @entry("s7_catalogue", """

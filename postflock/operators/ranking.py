@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from postflock.session import cut_lineage
+
 # Spark cuts each task to k rows per group before the shuffle only up to this k
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
 SALTS = 64
-ID_BUCKET = 65536
 
 
 def top_k(
@@ -40,30 +41,34 @@ def first_wins(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return picked.select(*keys, "_first.*").select(*df.columns)
 
 
+def in_ranges(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """``df`` cut into ranges of ``order``, numbered in ``_range``: Spark draws the splitters from a sample of each
+    task, so that ranges are about even whatever the data. Stored, as the numbers must not change."""
+    return cut_lineage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+
+
 def bucketed_rank(
     df: DataFrame, group: Sequence[str], item: str, lead: Sequence[str] = (), rank: str = "rank"
 ) -> DataFrame:
-    """Exact rank in each group by (``lead`` descending, integer ``item`` ascending).
+    """Exact rank in each group by (``lead`` descending, ``item`` ascending).
 
-    A plain window would sort a whole group in one task. Here ids are cut into fixed ranges, a
-    range is ranked alone, and the rows before it come from a running sum over range counts.
-    ``item`` must be unique within (group, lead), so a range holds at most ID_BUCKET rows.
+    A plain window would sort a whole group in one task. Here all rows are cut into ranges of the order, a range is
+    ranked alone, and the rows before it come from a running sum over the counts of a group's ranges: at most one row
+    per range. ``item`` must be unique within (group, lead).
     """
-    cells = [*group, *lead, "_bucket"]
-    marked = df.withColumn("_bucket", F.floor(F.col(item) / ID_BUCKET))
-    before = (
-        Window.partitionBy(*group).orderBy(*[F.desc(c) for c in lead], "_bucket")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    inner = [*[F.desc(c) for c in lead], F.col(item)]
+    cells = [*group, "_range"]
+    marked = in_ranges(df, [*[F.col(c) for c in group], *inner])
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         marked.groupBy(*cells).agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     )
-    inside = F.row_number().over(Window.partitionBy(*cells).orderBy(item))
+    inside = F.row_number().over(Window.partitionBy(*cells).orderBy(*inner))
     return (
         marked.withColumn("_inside", inside).join(starts, cells)
         .withColumn(rank, F.col("_start") + F.col("_inside"))
-        .drop("_bucket", "_start", "_inside")
+        .drop("_range", "_start", "_inside")
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postflock.plans.cluster import Behaviour, members
@@ -14,7 +15,7 @@ from postflock.schema import ANALYSIS
 PREFIX = "user_clustering"
 STAMP = "%Y%m%d_%H%M%S"
 NAME = PREFIX + r"_([a-z]+)_(\d{8}_\d{6})\.json"
-# Members stand inside the document up to this many users, beyond it in a data set beside it.
+# Members stand in a data set beside the document, and up to this many users inside it as well.
 INLINE_MEMBERS = 100_000
 
 
@@ -23,7 +24,7 @@ def result_document(
     inline_members: int = INLINE_MEMBERS,
 ) -> DataFrame:
     """One row in the ANALYSIS schema. Member lists are filled only while the user count is within
-    ``inline_members``; ``save_analysis`` writes larger ones in long form, whole."""
+    ``inline_members``; ``saved_members`` has them whole, whatever their number."""
     joined = summary
     if run.user_count <= inline_members:
         people = F.array_sort(F.collect_list(F.struct("user_id", "username")))
@@ -68,19 +69,34 @@ def save_analysis(
     run: Behaviour, document: DataFrame, rows: DataFrame, users: DataFrame, root: str,
     stamp: str | None = None, inline_members: int = INLINE_MEMBERS,
 ) -> str:
-    """Write document, rows and, for large runs, members; returns the document's path. Only the
-    document, whose size is bounded, goes through one task."""
+    """Write document, rows and members; returns the document's path. Only the document, whose size is bounded,
+    goes through one task. Members are written whatever their number; ``inline_members`` only tells, for callers that
+    also pass it to ``result_document``, up to which size the document names them too."""
     stamp = stamp or datetime.now().strftime(STAMP)
     path = f"{root}/{PREFIX}_{run.method}_{stamp}.json"
     document.coalesce(1).write.mode("overwrite").json(path)
     rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(
         f"{root}/{PREFIX}_data_{stamp}.csv"
     )
-    if run.user_count > inline_members:
-        members(run.assigned, users).write.mode("overwrite").json(f"{root}/{PREFIX}_members_{stamp}.jsonl")
+    members(run.assigned, users).write.mode("overwrite").json(f"{root}/{PREFIX}_members_{stamp}.jsonl")
     return path
 
 
+def saved_members(spark: SparkSession, path: str) -> DataFrame:
+    """(cluster, user_id, username) of the run whose document is at ``path``: all members, at every size. Documents
+    that other tools saved have no data set beside them and are read themselves."""
+    root, name = path.rstrip("/").rsplit("/", 1)
+    beside = f"{root}/{PREFIX}_members_{name.removesuffix('.json')[-15:]}.jsonl"
+    try:
+        return spark.read.schema("cluster long, user_id long, username string").json(beside)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    entries = by_cluster(read_analysis(spark, path))
+    return entries.select(F.col("cluster").cast("long").alias("cluster"), F.inline(F.arrays_zip("user_ids", "usernames"))).toDF(
+        "cluster", "user_id", "username")
+
+
 def read_analysis(spark: SparkSession, path: str) -> DataFrame:
     """A saved document; single pretty-printed files are read too."""
     return spark.read.schema(ANALYSIS).option("multiLine", True).json(path)

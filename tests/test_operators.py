@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postflock.operators import overlap as ov, tfidf as ti
-from postflock.operators import blocks as bl, dbscan as db, similarity as sm
+from postflock.operators import blocks as bl, dbscan as db, quantile as qu, ranking as rk, similarity as sm
 from postflock.operators.dbscan import dbscan
 from postflock.operators.quantile import exact_quantile
 from postflock.operators.ranking import (
@@ -310,3 +310,32 @@ def test_dbscan_of_a_full_cell_compares_few(spark, monkeypatch):
     found = dbscan(frame, 0.5, 4, 2).groupBy("cluster").count().collect()
     assert sorted(map(tuple, found)) == [(-1, 2), (0, 100_002)]
     assert max(df.count() for df in seen) <= 100_010
+
+
+def test_rank_of_one_group_in_even_ranges(spark, monkeypatch):
+    """One constant group, ten million ids apart: no range holds more than its share."""
+    seen, cut = [], rk.cut_lineage
+    monkeypatch.setattr(rk, "cut_lineage", lambda df: (seen.append(kept := cut(df)), kept)[1])
+    frame = spark.range(40_000).select(F.lit(0).alias("g"), (F.col("id") * 10_000_019).alias("id"), (F.col("id") % 3).alias("n"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would become one range
+    found = {r.id: r["rank"] for r in bucketed_rank(frame.repartition(7), ["g"], "id", ["n"]).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    order = sorted(found, key=lambda i: (-(i // 10_000_019 % 3), i))
+    assert [found[i] for i in order] == list(range(1, 40_001))
+    most, ranges = seen[0].groupBy("_range").count().agg(F.max("count"), F.count("*")).first()
+    assert ranges >= 4 and most <= 2 * 40_000 / ranges
+
+
+@pytest.mark.parametrize("shape", ["even", "heavy", "two"])
+def test_quantile_of_ten_million_sorts_few(spark, monkeypatch, shape):
+    value = {"even": F.rand(5), "heavy": F.when(F.rand(5) < 0.7, 0.25).otherwise(F.rand(6)),
+             "two": F.when(F.col("id") % 5 == 0, 1.0).otherwise(0.0)}[shape]
+    frame = spark.range(0, 10_000_000, 1, 8).select(value.alias("x")).persist()
+    sizes, real = [], type(frame).groupBy
+    monkeypatch.setattr(type(frame), "groupBy", lambda self, *c: (sizes.append(self.count()), real(self, *c))[1])
+    found = exact_quantile(frame, "x", 0.8).first()[0]
+    monkeypatch.undo()
+    data = np.sort(frame.toPandas().x.to_numpy())
+    frame.unpersist()
+    assert math.isclose(found, float(np.percentile(data, 80)), abs_tol=1e-12)
+    assert all(s <= qu.SORTED_ROWS for s in sizes)

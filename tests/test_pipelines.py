@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postflock.operators import lexicon as lx, tfidf as ti
 from postflock.plans import cluster as cl, graph as gr, ingest as ig, recommend as rc, report as rp, stats as st, tags as tg
-from postflock.schema import LEXICON
+from postflock.schema import ANALYSIS, LEXICON
 from postflock.sources import analyses, raw_csv
 from postflock.streaming import live, stored
 
@@ -276,3 +276,17 @@ def test_a_batch_of_counts_written_twice_changes_nothing(spark, tmp_path):
         store(spark.createDataFrame(rows, "hour timestamp, tag string, count long"), number)
     found = spark.read.parquet(f"{tmp_path}/out/ranking").filter("batch = 1").orderBy("rank").collect()
     assert [(r.tag, r["count"]) for r in found] == [("t2", 5), ("t1", 3), ("t0", 1)]
+
+
+@pytest.mark.parametrize("inline", [2, 100])
+def test_saved_members_are_whole_at_every_size(spark, golden, tmp_path, inline):
+    posts, users = golden
+    run = cl.behaviour_clusters(posts, 2, restarts=1)
+    document = analyses.result_document(run, cl.summary(run.assigned, posts, links(posts), cl.text_weights(posts)), users, None, "20250418_003309", inline)
+    path = analyses.save_analysis(run, document, run.assigned, users, str(tmp_path), "20250418_003309")
+    found = {(r.user_id, r.username) for r in analyses.saved_members(spark, path).collect()}
+    assert found == set(NAMES)
+    if inline == 100:
+        alone = f"{tmp_path}/alone/user_clustering_kmeans_20250419_003309.json"
+        spark.read.json(path, schema=ANALYSIS).write.json(alone)
+        assert {(r.user_id, r.username) for r in analyses.saved_members(spark, alone).collect()} == set(NAMES)
