@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 import os
 import re
 import zlib
@@ -25,9 +26,10 @@ from postflock.llm.common import bound_batches, texts
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 UNKNOWN_PENALTY = 10.0
+NEVER = -math.inf
 
 
 class DoubleArray:
@@ -127,26 +129,40 @@ class Segmenter:
         self._unknown_score = min(vocabulary.scores[i] for _, i in words) - UNKNOWN_PENALTY
         self._type = np.dtype("<u2" if len(vocabulary.pieces) < 1 << 16 else "<u4")
         self._known: dict[str, bytes] = {}
-        self._bytes = set(vocabulary.byte_ids)
+        of_byte = {i: bytes([b]) for b, i in enumerate(vocabulary.byte_ids)}
+        self._raw = [of_byte.get(i, p.encode()) for i, p in enumerate(vocabulary.pieces)]
+        self._is_byte = np.zeros(len(vocabulary.pieces), dtype=bool)
+        self._is_byte[vocabulary.byte_ids] = True
 
     def viterbi(self, word: str) -> list[int]:
         """Ids of the best segmentation; of equal ones that whose last piece is longest, and so on backwards."""
-        raw, scores = word.encode("utf-8", "surrogatepass"), self.vocabulary.scores
-        best: list[float | None] = [0.0] + [None] * len(raw)
-        back: list[tuple[int, int]] = [(0, -1)] * (len(raw) + 1)
+        raw, scores, unknown = word.encode("utf-8", "surrogatepass"), self.vocabulary.scores, self._unknown_score
+        base, check, value, size = self._trie.base, self._trie.check, self._trie.value, len(raw)
+        states = len(check)
+        best = [NEVER] * (size + 1)
+        best[0] = 0.0
+        back: list[tuple[int, int]] = [(0, -1)] * (size + 1)
         start = 0
-        while start < len(raw):
+        while start < size:
             here, lead = best[start], raw[start]
             after = start + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
-            single = False
-            for end, piece in self._trie.ends(raw, start):
-                single = single or end == after
-                total = here + scores[piece]
-                if best[end] is None or total > best[end]:
-                    best[end], back[end] = total, (start, piece)
+            single, state, end = False, 0, start
+            while end < size:  # the walk of ``DoubleArray.ends``, in place as it is the inmost loop
+                place = base[state] + raw[end] + 1
+                if place >= states or check[place] != state:
+                    break
+                state = place
+                end += 1
+                piece = value[state]
+                if piece >= 0:
+                    if end == after:
+                        single = True
+                    total = here + scores[piece]
+                    if total > best[end]:
+                        best[end], back[end] = total, (start, piece)
             if not single:
-                total = here + self._unknown_score
-                if best[after] is None or total > best[after]:
+                total = here + unknown
+                if total > best[after]:
                     best[after], back[after] = total, (start, -1)
             start = after
         ids: list[int] = []
@@ -163,9 +179,10 @@ class Segmenter:
         return ids[::-1]
 
     def _word(self, word: str) -> bytes:
+        """Ids of a word with its marker, remembered without it."""
         ids = np.array(self.viterbi(word), dtype=self._type).tobytes()
         if len(self._known) < CACHED_WORDS:
-            self._known[word] = ids
+            self._known[word[1:]] = ids
         return ids
 
     def encode(self, text: str) -> np.ndarray:
@@ -173,22 +190,22 @@ class Segmenter:
         if not text:
             return np.zeros(0, dtype="<u4")
         known = self._known.get
-        words = WORD.findall(MARK + text.replace(" ", MARK))
-        return np.frombuffer(b"".join([known(w) or self._word(w) for w in words]), dtype=self._type).astype("<u4")
+        words = text.split(" ")
+        if "" in words or MARK in text:
+            words = WORD.findall(MARK + text.replace(" ", MARK))
+            ids = [known(w[1:]) or self._word(w) for w in words]
+        else:
+            ids = [known(w) or self._word(MARK + w) for w in words]
+        return np.frombuffer(b"".join(ids), dtype=self._type).astype("<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: byte pieces are joined before decoding (a broken sequence gives U+FFFD), markers
         become spaces, and the one that was put in front goes."""
-        out = bytearray()
-        for i in ids.tolist():
-            if i in self._bytes:
-                out.append(self.vocabulary.byte_ids.index(i))
-            else:
-                out += self.vocabulary.pieces[i].encode()
+        out = b"".join(map(self._raw.__getitem__, ids.tolist()))
         return out.decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ")
 
     def byte_pieces(self, ids: np.ndarray) -> int:
-        return int(np.isin(ids, self.vocabulary.byte_ids).sum())
+        return int(self._is_byte[ids].sum())
 
 
 @functools.lru_cache(maxsize=2)
