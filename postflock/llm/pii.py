@@ -65,12 +65,15 @@ LABELLED = (
 )
 MARKED = re.compile(r"\[(email|ip|card|phone) (.*?)\](?=$|[\s,.;:!?])")
 OPEN_TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
+AT = re.compile(r"[(\[](?:at|arroba)[)\]]", re.IGNORECASE)
+DOT = re.compile(r"[(\[](?:dot|punkt|punto|point)[)\]]", re.IGNORECASE)
+TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
 SPELT = re.compile(
     r"(?<!\S)\S+\s*[(\[](?:at|arroba)[)\]]\s*\S+(?:\s*[(\[](?:dot|punkt|punto|point)[)\]]\s*\S+)+", re.IGNORECASE)
 TOKEN = re.compile(r"\S+")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 EDGE = ".,;:!?|\"'"
-CONTEXT = 40
+WINDOW = 64
 ROUNDS = 300
 BLOCK = 512
 DECODED_TOKENS = 256 * BLOCK
@@ -79,7 +82,8 @@ Span = tuple[str, int, int]
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match can only begin with a run of digits and ends with one, so a run is tried once, from its first digit.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -112,7 +116,8 @@ def base_spans(text: str) -> list[Span]:
     found = _emails(text) if "@" in text else []
     if DIGIT.search(text):
         for m in IP.finditer(text):
-            if all(len(p) < 400 and int(p) <= 255 for p in m.group().split(".")):
+            parts = [p.lstrip("0") for p in m.group().split(".")]
+            if all(len(p) <= 3 and int(p or 0) <= 255 for p in parts):
                 found.append(("ip", *m.span()))
         for m in CARD.finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")
@@ -127,7 +132,6 @@ def base_spans(text: str) -> list[Span]:
 
 def shape(token: str) -> str:
     """Runs of letters as x or X, of digits as 9 (with how many, up to 7), other characters as they are."""
-    token = token[:64]
     out = re.sub(r"[^\W\d_]+", lambda m: "X" if m.group()[0].isupper() else "x", token)
     return re.sub(r"[0-9]+", lambda m: f"9{min(len(m.group()), 7)}", out)
 
@@ -151,11 +155,58 @@ class Segment:
     features: list[list[str]]
 
 
+def spelt_places(text: str) -> list[tuple[int, int]]:
+    """Tokens of spelt-out addresses: an at-mark with the word it stands in or behind, the word after it, and as many
+    dot-marks, one at least, with a word each. Marks are found first and tokens counted from there, so that no
+    token is looked at from each of its places."""
+    if not AT.search(text):
+        return []
+    tokens = [m.span() for m in TOKEN.finditer(text)]
+    marks = [AT.search(text, a, b) for a, b in tokens]
+    found: set[int] = set()
+    last = -1
+    for i, mark in enumerate(marks):
+        if mark is None or i <= last:
+            continue
+        a, b = tokens[i]
+        first = i if mark.start() > a else i - 1
+        end = i if mark.end() < b else i + 1
+        dots = DOT.search(text, mark.end(), b) is not None
+        while end + 1 < len(tokens):
+            own, after = tokens[end], DOT.match(text, *tokens[end + 1])
+            if after:
+                dots, end = True, end + (1 if after.end() < tokens[end + 1][1] else 2)
+            elif text[own[1] - 1] in ")]" and any(m.end() == own[1] for m in DOT.finditer(text, max(own[0], own[1] - 8), own[1])):
+                dots, end = True, end + 1
+            else:
+                break
+        if dots and first >= 0 and end < len(tokens):
+            found.update(range(first, end + 1))
+            last = end
+    return [tokens[i] for i in sorted(found)]
+
+
+def _word_before(text: str, start: int) -> str:
+    """The word in front of a place, however many blanks lie between and however long it is."""
+    width = WINDOW
+    while True:
+        low = max(0, start - width)
+        bare = text[low:start].rstrip()
+        word = bare.split()[-1] if bare else ""
+        if not low or len(word) < len(bare):
+            return word
+        width *= 4
+
+
+def _word_after(text: str, end: int) -> str:
+    found = TOKEN.search(text, end)
+    return found.group() if found else ""
+
+
 def segments(text: str) -> list[Segment]:
     places = {m.span() for m in OPEN_TOKEN.finditer(text)}
     if "(" in text or "[" in text:
-        for m in SPELT.finditer(text):
-            places.update((m.start() + t.start(), m.start() + t.end()) for t in TOKEN.finditer(m.group()))
+        places.update(spelt_places(text))
     runs: list[list[tuple[int, int]]] = []
     for place in sorted(places):
         if runs and place[0] < runs[-1][-1][1]:
@@ -166,9 +217,7 @@ def segments(text: str) -> list[Segment]:
             runs.append([place])
     found = []
     for run in runs:
-        before = text[max(0, run[0][0] - CONTEXT):run[0][0]].split()[-1:]
-        after = text[run[-1][1]:run[-1][1] + CONTEXT].split()[:1]
-        words = [*(before or [""]), *(text[a:b] for a, b in run), *(after or [""])]
+        words = [_word_before(text, run[0][0]), *(text[a:b] for a, b in run), _word_after(text, run[-1][1])]
         found.append(Segment(run, [_features(*words[i:i + 3]) for i in range(len(run))]))
     return found
 
