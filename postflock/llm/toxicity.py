@@ -1,10 +1,13 @@
 """Toxicity of texts: a lexicon learned from labelled documents, found also where terms are misspelled.
 
 1. From a bounded sample of labelled documents, words and word beginnings (stems) are weighted by how much
-   more often they occur in toxic documents (lower bound of the log-odds). The clear ones are the lexicon.
-2. Words are walked through the lexicon's trie. A word that is not in it is compared, by a Levenshtein
-   automaton that serves all terms, with the terms that have a shortened form in common with it. Every word
-   of five letters or more may be misspelled, however rare. Each worker remembers the words it has met.
+   more often they occur in toxic documents (lower bound of the log-odds). The clear ones are the lexicon: chance
+   alone would bring about one term at most among all that were looked at.
+2. The Levenshtein automaton is intersected with the lexicon's trie: a state of the product is the set of trie nodes
+   that a word's letters so far can have reached, each with the fewest edits. States and steps are made as words
+   meet them and kept, so words share what they have in common, and a word ends where its state dies. How many edits
+   a term bears: none below five letters and for stems, one below eight letters, two from there on, however rare
+   the term is.
 3. A found term counts with its weight, less by the edits needed, and less where the words around it show
    that it is quoted: quotation marks that enclose it, words of reporting in front of it.
 4. A logistic curve, fitted on other labelled documents than the lexicon, turns the sums into 0 to 1.
@@ -28,7 +31,6 @@ from postflock.llm.common import bound_batches, remainder, stored, texts
 HELD_OUT = 2
 LEXICON_FOLDS = (0, 1)
 LABELLED_ROWS = 20_000
-LEXICON_TERMS = 5_000
 LEAST_WEIGHT = 1.5
 LEAST_DOCUMENTS = 3
 STEM_LETTERS = (4, 5, 6, 7, 8)
@@ -39,7 +41,7 @@ REPORTED_FACTOR = 0.7
 CONTEXT = 80
 CACHED_WORDS = 500_000
 COUNTED_TERMS = 500_000
-FIRST_LETTERS = 8
+KEPT_STATES = 200_000
 
 WORD = re.compile(r"\w+")
 #: Words of reporting or mention, in the four languages of the corpus.
@@ -51,12 +53,9 @@ PAIRED_MARKS = ("“”", "«»", "„“", "‘’")
 
 @dataclass(frozen=True)
 class Term:
-    """``share``: the part of the toxic documents learned from that has the term."""
-
     text: str
     weight: float
     stem: bool = False
-    share: float = 1.0
 
     @property
     def edits(self) -> int:
@@ -73,66 +72,85 @@ class _Node:
     stem: float = 0.0
 
 
-class Levenshtein:
-    """The Levenshtein automaton for a number of edits, the same for every term. A state is the row of edits
-    at the 2 * edits + 1 places of the term around the letter read; a step depends only on which letters of
-    the term there equal it. States are made as they are met; there are few."""
-
-    def __init__(self, edits: int) -> None:
-        self.edits, self.width = edits, 2 * edits + 1
-        self._rows: list[tuple[int, ...]] = []
-        self._ids: dict[tuple[int, ...], int] = {}
-        self._steps: list[list[int | None]] = []
-        self._start = self._state(tuple(o if o >= 0 else edits + 1 for o in range(-edits, edits + 1)))
+class Product:
+    """Levenshtein automaton and trie of the terms that bear edits, intersected. A state is a set of (node, edits),
+    the fewest edits for each node; from there a letter of the word leads to the child of that letter, with one edit
+    more to any child (another letter) or to the node itself (a letter too many), and with one edit more without a
+    letter read to any child (a letter too few). A node is only kept while a term below it bears so many edits.
+    States are made when a word first comes to them; beyond KEPT_STATES all are made anew, which costs time only."""
 
-    def _state(self, row: tuple[int, ...]) -> int:
-        """-1 where all places have more edits than allowed."""
-        if min(row) > self.edits:
+    def __init__(self, terms: list[Term]) -> None:
+        self._children: list[dict[str, int]] = [{}]
+        self._ends: list[tuple[float, int]] = [(0.0, -1)]
+        self._bears = [0]
+        for term in terms:
+            node = 0
+            self._bears[0] = max(self._bears[0], term.edits)
+            for letter in term.text:
+                if letter not in self._children[node]:
+                    self._children[node][letter] = len(self._children)
+                    self._children.append({})
+                    self._ends.append((0.0, -1))
+                    self._bears.append(0)
+                node = self._children[node][letter]
+                self._bears[node] = max(self._bears[node], term.edits)
+            self._ends[node] = max(self._ends[node], (term.weight, term.edits))
+        self._reset()
+
+    def _reset(self) -> None:
+        self._states: list[tuple[tuple[int, int], ...]] = []
+        self._ids: dict[tuple[tuple[int, int], ...], int] = {}
+        self._steps: list[dict[str, int]] = []
+        self._values: list[float] = []
+        self._state({0: 0})
+
+    def _state(self, reached: dict[int, int]) -> int:
+        """The state of these nodes and of those that missing letters lead to; -1 if there is none."""
+        work = list(reached.items())
+        for node, edits in work:
+            if reached[node] == edits:
+                for child in self._children[node].values():
+                    if edits < self._bears[child] and edits + 1 < reached.get(child, self._bears[child] + 1):
+                        reached[child] = edits + 1
+                        work.append((child, edits + 1))
+        if not reached:
             return -1
-        if row not in self._ids:
-            self._ids[row] = len(self._rows)
-            self._rows.append(row)
-            self._steps.append([None] * (1 << self.width))
-        return self._ids[row]
-
-    def _step(self, state: int, equal: int) -> int:
-        old, new = self._rows[state], []
-        for o in range(self.width):
-            least = min(old[o] + 1 - (equal >> o & 1), old[o + 1] + 1 if o + 1 < self.width else self.edits + 1)
-            new.append(min(least, new[-1] + 1 if new else least, self.edits + 1))
-        self._steps[state][equal] = after = self._state(tuple(new))
+        key = tuple(sorted(reached.items()))
+        if key not in self._ids:
+            self._ids[key] = len(self._states)
+            self._states.append(key)
+            self._steps.append({})
+            self._values.append(max([0.0, *(self._ends[n][0] * EDIT_FACTOR ** e for n, e in key if e <= self._ends[n][1])]))
+        return self._ids[key]
+
+    def _step(self, state: int, letter: str) -> int:
+        reached: dict[int, int] = {}
+
+        def reach(node: int, edits: int) -> None:
+            if edits <= self._bears[node] and edits < reached.get(node, edits + 1):
+                reached[node] = edits
+
+        for node, edits in self._states[state]:
+            reach(node, edits + 1)
+            for own, child in self._children[node].items():
+                reach(child, edits if own == letter else edits + 1)
+        after = self._state(reached)
+        self._steps[state][letter] = after
         return after
 
-    def places(self, term: str) -> dict[str, int]:
-        """For each letter of the term the bits of its places."""
-        found: dict[str, int] = {}
-        for n, letter in enumerate(term):
-            found[letter] = found.get(letter, 0) | 1 << n + self.edits
-        return found
-
-    def distance(self, word: str, length: int, places: dict[str, int]) -> int:
-        """Edits between the word and the term of this length and places, or more than allowed."""
-        if abs(length - len(word)) > self.edits:
-            return self.edits + 1
-        state, steps, last = self._start, self._steps, (1 << self.width) - 1
-        for n, letter in enumerate(word, 1):
-            equal = places.get(letter, 0) >> n - 1 & last
-            after = steps[state][equal]
-            state = self._step(state, equal) if after is None else after
-            if state < 0:
-                return self.edits + 1
-        return self._rows[state][length - len(word) + self.edits]
-
-
-def shortened(word: str, edits: int) -> set[str]:
-    """The first FIRST_LETTERS letters of ``word`` with up to ``edits`` of them left out. Words no more than
-    ``edits`` apart have one of these in common."""
-    cut = [("", word[:FIRST_LETTERS])]
-    found = {word[:FIRST_LETTERS]}
-    for _ in range(edits):
-        cut = [(a + b[:i], b[i + 1:]) for a, b in cut for i in range(len(b))]
-        found.update([a + b for a, b in cut])
-    return found
+    def weight(self, word: str) -> float:
+        """The largest weight of a term within its edits of the word, less by EDIT_FACTOR for each edit; 0 for none."""
+        if len(self._states) > KEPT_STATES:
+            self._reset()
+        state, steps = 0, self._steps
+        for letter in word:
+            after = steps[state].get(letter)
+            if after is None:
+                after = self._step(state, letter)
+            if after < 0:
+                return 0.0
+            state = after
+        return self._values[state]
 
 
 class Matcher:
@@ -148,15 +166,7 @@ class Matcher:
                 node.stem = max(node.stem, term.weight)
             else:
                 node.word = max(node.word, term.weight)
-        self._near = []
-        for edits in sorted({t.edits for t in terms} - {0}):
-            own, forms = Levenshtein(edits), {}
-            some = [(t.weight, len(t.text), own.places(t.text)) for t in terms if t.edits == edits]
-            for n, text in enumerate(t.text for t in terms if t.edits == edits):
-                for form in shortened(text, edits):
-                    forms.setdefault(form, []).append(n)
-            lengths = [length for _, length, _ in some]
-            self._near.append((own, min(lengths) - edits, max(lengths) + edits, some, forms))
+        self._near = Product([t for t in terms if t.edits])
 
     def _exact(self, word: str) -> float:
         node, stem = self._root, 0.0
@@ -169,14 +179,7 @@ class Matcher:
     def weights(self, word: str) -> tuple[float, float] | None:
         if exact := self._exact(word):
             return exact, 0.0
-        near = 0.0
-        for own, low, high, terms, forms in self._near:
-            if low <= len(word) <= high:
-                for n in {n for form in forms.keys() & shortened(word, own.edits) for n in forms[form]}:
-                    weight, length, places = terms[n]
-                    edits = own.distance(word, length, places)
-                    if edits <= own.edits:
-                        near = max(near, weight * EDIT_FACTOR ** edits)
+        near = self._near.weight(word)
         return (0.0, near) if near else None
 
 
@@ -297,28 +300,28 @@ def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def learn_lexicon(sample: DataFrame) -> list[Term]:
-    """At most ``LEXICON_TERMS`` terms whose lower bound of log-odds is ``LEAST_WEIGHT`` or more."""
+    """All terms whose lower bound of log-odds is ``LEAST_WEIGHT`` or more and whose share of toxic documents is beyond
+    chance: by Chernoff's bound a term that is as frequent in both kinds would come so far with a probability below
+    one over the number of terms looked at. Their number is bounded by the sample's."""
     sizes = sample.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()
     size = {bool(r["toxic"]): r["count"] for r in sizes}
     if not size.get(True) or not size.get(False):
         return []
-    counted = sample.select("text", "toxic").mapInPandas(
-        _count_terms, "term string, stem boolean, toxic long, clean long")
+    counted = stored(
+        sample.select("text", "toxic").mapInPandas(_count_terms, "term string, stem boolean, toxic long, clean long")
+        .groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        .filter(F.col("toxic") >= LEAST_DOCUMENTS), "toxicity-terms")
     a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
     weight = F.log(a / (size[True] + 1)) - F.log(b / (size[False] + 1)) - 1.64 * F.sqrt(1 / a + 1 / b)
-    best = (
-        counted.groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .filter(F.col("toxic") >= LEAST_DOCUMENTS).withColumn("weight", weight)
-        .filter(F.col("weight") >= LEAST_WEIGHT)
-        .orderBy(F.desc("weight"), "term", "stem").limit(LEXICON_TERMS)
-    )
-    return reduced([Term(r["term"], round(r["weight"], 6), r["stem"], r["toxic"] / size[True]) for r in best.collect()])
+    share, usual = F.col("toxic") / (F.col("toxic") + F.col("clean")), size[True] / (size[True] + size[False])
+    clean = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - usual))).otherwise(0.0)
+    surprise = (F.col("toxic") + F.col("clean")) * (share * F.log(share / usual) + clean)
+    best = counted.withColumn("weight", weight).filter(
+        (F.col("weight") >= LEAST_WEIGHT) & (share > usual) & (surprise >= math.log(max(1, counted.count()))))
+    return reduced([Term(r["term"], round(r["weight"], 6), r["stem"]) for r in best.orderBy("term", "stem").collect()])
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> list[float]:
-    """Logistic regression by Newton's method, intercept first and free of the ridge."""
-    if not y.size:
-        return [-2.0, 0.0, 0.0, 0.0, 0.0]
+def _fitted(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int) -> np.ndarray:
     x = np.column_stack([np.ones(len(x)), x])
     penalty = np.diag([1e-3, *[ridge] * (x.shape[1] - 1)])
     w = np.zeros(x.shape[1])
@@ -328,7 +331,23 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
-    return [float(v) for v in w]
+    return w
+
+
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> list[float]:
+    """Logistic regression by Newton's method, intercept first and free of the ridge. No feature may speak for a text:
+    one whose weight would be negative is left out, and the rest are fitted again."""
+    used = list(range(x.shape[1] if x.ndim == 2 else 4))
+    if not y.size:
+        return [-2.0, *[0.0] * len(used)]
+    while True:
+        w = _fitted(x[:, used], y, ridge, rounds)
+        if not used or w[1:].min() >= 0:
+            break
+        used.pop(int(w[1:].argmin()))
+    whole = np.zeros(1 + x.shape[1])
+    whole[[0, *(i + 1 for i in used)]] = w
+    return [float(v) for v in whole]
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
@@ -360,7 +379,8 @@ def score(text: Column | str, model: Model) -> Column:
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document, repeated rows and null ids included."""
+    """One row per row of ``docs``. Null and empty texts score as texts without any term; repeated rows and null ids are
+    kept, each with its score; other columns are not read; an empty table gives no rows."""
     scored = docs.select("doc_id", score("text", train(docs, labels)).alias("score"))
     return scored.select(
         "doc_id", (remainder(F.col("doc_id"), 4) == HELD_OUT).alias("held_out"), "score",
@@ -368,5 +388,7 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose score is below the threshold, with their columns."""
+    """The rows of ``docs`` whose score is below the threshold, with all their columns as they are, whatever their names.
+    Null and empty texts have no term and stay unless the labels say that most texts are toxic; repeated rows fare
+    alike; rows without an id are judged like others; an empty table stays empty."""
     return docs.filter(score("text", train(docs, labels)) < THRESHOLD)
