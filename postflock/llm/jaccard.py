@@ -7,13 +7,14 @@ ninth of their summed sizes, and each differing token spoils one group, so at le
 groups are equal as a whole. The equal ones are met by a prefix filter over (band, group, content): each set
 posts its ``differing + 1`` first groups, in one order for all, the largest groups first. Sets that can link
 therefore meet in a bucket; unrelated sets hardly ever do, for a whole group must agree. Sets near the upper
-end of a band also post in the next.
-
-*What to compare.* Buckets are first joined along stars, STAR_TURNS times: each set is verified against one
-other, of another component, that it meets most often. That connects groups of copies in as many checks as
-there are copies. What is left are buckets with sets of several components. There each set is a point, its
-counts of tokens per coordinate, in an R-tree whose boxes bound the overlap by the sum of the coordinates'
-minima. Nearly all pairs that survive the bound link, so FOREST_TURNS times each bucket gives out only as many
+end of a band also post in the next. A text is cut into shingles once for its name and its groups, and only once
+more if its set comes up in a bucket.
+
+*What to compare.* Each set is a point, its counts of tokens per coordinate; the sum of two points' minima bounds
+their overlap. Buckets are first joined along stars, STAR_TURNS times: each set meets one other, of another
+component, that it shares most buckets with, and is verified against it if the bound allows. That connects groups of
+copies in as many checks as there are copies. What is left are buckets with sets of several components. There an
+R-tree over the points holds boxes whose corners bound the overlap in the same way. Nearly all pairs that survive the bound link, so FOREST_TURNS times each bucket gives out only as many
 survivors as it takes to connect its components; then all pairs that still lie in different components and
 survive are given out. They are verified on the full sets. A pair that shares many buckets is given out by the
 one of least name. No pair that can link is left out.
@@ -31,8 +32,9 @@ from postflock.llm.common import bound_batches, stored, texts
 from postflock.llm.rolling import SHINGLE_WORDS, mixed, shingles
 from postflock.operators.components import components
 
-COORDINATES = 512
-FOLD = 8
+COORDINATES = 256
+FOLD = 4
+MOST = (1 << 16) - 1
 LEAF = 32
 SMALL = 64
 GROUPS_PER_SIZE = 0.64
@@ -64,9 +66,10 @@ def set_key(tokens: np.ndarray) -> int:
 
 
 def counts(tokens: np.ndarray) -> np.ndarray:
-    """The point of a set: how many of its tokens fall on each coordinate. Two bytes hold the counts of sets
-    of up to some 30 million tokens."""
-    return np.bincount((tokens % np.uint64(COORDINATES)).astype(np.int64), minlength=COORDINATES).astype("<u2")
+    """The point of a set: how many of its tokens fall on each coordinate, MOST at most. Sets of some 16 million
+    tokens come so far; two such points with a full coordinate are not bounded but verified."""
+    found = np.bincount((tokens % np.uint64(COORDINATES)).astype(np.int64), minlength=COORDINATES)
+    return np.minimum(found, MOST).astype("<u2")
 
 
 def _band(size: int) -> int:
@@ -107,9 +110,10 @@ def postings(tokens: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
-def _post(words: int):
+def _post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(name, salt, key) of the groups of each set; sets that several rows of a task have post once."""
     def flush(names: list[np.ndarray], keys: list[np.ndarray]) -> pd.DataFrame:
-        name, key = np.concatenate(names).view(np.int64), np.concatenate(keys)
+        name, key = np.concatenate(names), np.concatenate(keys)
         salt = np.zeros(name.size, dtype=np.int32)
         own, where, many = np.unique(name, return_inverse=True, return_counts=True)
         hot = many[where] > HOT
@@ -120,27 +124,23 @@ def _post(words: int):
             rows = pd.concat([rows, least])
         return rows[["name", "salt", "key"]]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
-        names: list[np.ndarray] = []
-        keys: list[np.ndarray] = []
-        held = 0
-        for rows in batches:
-            for text in rows.text:
-                tokens = shingles(text, words)
-                key = set_key(tokens)
-                if not tokens.size or key in seen:
-                    continue
-                seen.add(key)
-                names.append(postings(tokens))
-                keys.append(np.full(names[-1].size, key, dtype=np.int64))
-                held += names[-1].size
-            if held >= FLUSH:
-                yield flush(names, keys)
-                names, keys, held = [], [], 0
-        if names:
+    seen: set[int] = set()
+    names: list[np.ndarray] = []
+    keys: list[np.ndarray] = []
+    held = 0
+    for rows in batches:
+        for key, own in zip(rows.key.to_list(), rows["names"]):
+            if key in seen:
+                continue
+            seen.add(key)
+            names.append(np.frombuffer(own, dtype="<i8"))
+            keys.append(np.full(names[-1].size, key, dtype=np.int64))
+            held += names[-1].size
+        if held >= FLUSH:
             yield flush(names, keys)
-    return run
+            names, keys, held = [], [], 0
+    if names:
+        yield flush(names, keys)
 
 
 def _mark(text: str) -> Column:
@@ -148,13 +148,20 @@ def _mark(text: str) -> Column:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, mark, key, n_shingles) of every row; ``mark`` tells the texts of one id apart."""
+    """(doc_id, mark, key, n_shingles, names) of every row; ``mark`` tells the texts of one id apart, ``names`` are the
+    set's groups, packed, at the first row of a batch that has the set."""
 
-    @F.pandas_udf("key long, n_shingles long")
+    @F.pandas_udf("key long, n_shingles long, names binary")
     def run(batch: pd.Series) -> pd.DataFrame:
-        found = [shingles(t, words) for t in batch]
-        return pd.DataFrame({"key": [set_key(t) for t in found], "n_shingles": [t.size for t in found]},
-                            dtype="int64")
+        seen: set[int] = set()
+        out = []
+        for text in batch:
+            tokens = shingles(text, words)
+            key = set_key(tokens)
+            new = tokens.size > 0 and key not in seen
+            seen.add(key)
+            out.append((key, tokens.size, postings(tokens).view("<i8").tobytes() if new else None))
+        return pd.DataFrame(out, columns=["key", "n_shingles", "names"]).astype({"key": "int64", "n_shingles": "int64"})
 
     return texts(docs).select("doc_id", _mark("text").alias("mark"), run("text").alias("s")).select("doc_id", "mark", "s.*")
 
@@ -174,17 +181,38 @@ def _content(words: int):
 
 
 def _contents(docs: DataFrame, members: DataFrame, keys: DataFrame, words: int) -> DataFrame:
-    """(key, size, counts, tokens) of the wanted keys, each from the document of least id that has it. Rows
-    that repeat an id meet in one task, which keeps the first that has the key."""
-    holders = members.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("_holder"))
-    found = texts(docs).join(holders, F.col("doc_id").eqNullSafe(F.col("_holder"))).select("key", "text")
+    """(key, size, counts, tokens) of the wanted keys, each from one row that has it: that of least id and mark. Rows
+    that repeat id and text meet in one task, which keeps the first."""
+    holders = members.join(keys, "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("_h"))
+    rows = texts(docs).withColumn("mark", _mark("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_h.doc_id")) & (F.col("mark") == F.col("_h.mark"))
+    found = rows.join(holders, same).select("key", "text")
     return found.mapInPandas(_content(words), "key long, size long, counts binary, tokens array<long>")
 
 
+def _sides(contents: DataFrame, *columns: str) -> list[DataFrame]:
+    return [contents.select(F.col("key").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in columns]) for n in ("a", "b")]
+
+
+def _may_link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        if rows.empty:
+            continue
+        one, two = (np.frombuffer(b"".join(rows[c]), dtype="<u2").reshape(len(rows), -1) for c in ("counts_a", "counts_b"))
+        shared = np.minimum(one, two).sum(axis=1, dtype=np.int64)
+        full = (one == MOST).any(axis=1) & (two == MOST).any(axis=1)
+        yield rows.loc[full | (shared >= least_overlap(rows.size_a.to_numpy(), rows.size_b.to_numpy())), ["a", "b"]]
+
+
+def _bounded(pairs: DataFrame, contents: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the sum of their points' minima does not rule out."""
+    one, two = _sides(contents, "size", "counts")
+    return pairs.join(one, "a").join(two, "b").mapInPandas(_may_link, "a long, b long")
+
+
 def _verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link."""
-    one = contents.select(F.col("key").alias("a"), F.col("size").alias("size_a"), F.col("tokens").alias("tokens_a"))
-    two = contents.select(F.col("key").alias("b"), F.col("size").alias("size_b"), F.col("tokens").alias("tokens_b"))
+    one, two = _sides(contents, "size", "tokens")
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
     return pairs.join(one, "a").join(two, "b").filter(
         _link(shared, F.col("size_a"), F.col("size_b"))).select("a", "b")
@@ -214,7 +242,8 @@ class CountTree:
 
     @staticmethod
     def _open(query: np.ndarray, size: int, high: np.ndarray, small: np.ndarray) -> np.ndarray:
-        return np.minimum(high, query).sum(axis=1, dtype=np.int64) >= least_overlap(size, small)
+        allowed = np.minimum(high, query).sum(axis=1, dtype=np.int64) >= least_overlap(size, small)
+        return allowed | (high.max(axis=1) >= MOST) if query.max() >= MOST else allowed
 
     def search(self, query: np.ndarray, size: int, wanted: np.ndarray | None = None) -> np.ndarray:
         """Places (in the given order of points) of all points that the bound does not rule out, of those that
@@ -291,11 +320,11 @@ def _tree_join(forest: bool):
     return run
 
 
-def _buckets(docs: DataFrame, words: int) -> DataFrame:
+def _buckets(members: DataFrame) -> DataFrame:
     """(name, salt, key) of all buckets that hold two sets or more. Copies post once per task. A name that many
     sets of one task share is dealt by salt, and the least key of each salt also stands in the bucket of salt
     0, so that no task gets a whole hot bucket."""
-    rows = texts(docs).select("text").mapInPandas(_post(words), "name long, salt int, key long")
+    rows = members.filter("names is not null").select("key", "names").mapInPandas(_post, "name long, salt int, key long")
     bucket = Window.partitionBy("name", "salt")
     return (
         rows.withColumn("_low", F.min("key").over(bucket)).withColumn("_high", F.max("key").over(bucket))
@@ -330,16 +359,24 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(after.select("key", F.coalesce("label", "component").alias("component")), "jaccard-labels")
 
 
-def _remaining(rows: DataFrame, contents: DataFrame, forest: bool) -> DataFrame:
+def _remaining(
+    rows: DataFrame, contents: DataFrame, tested: DataFrame | None, forest: bool, settled: bool = False
+) -> DataFrame:
     """Candidate pairs (a, b) of different components, from the buckets that still hold several: all, or for a
     ``forest`` enough of each bucket to connect what its candidates connect. Of buckets with the same members
-    one is enough; a key that stands twice counts with its salts, or it would leave no trace in the XOR."""
+    one is enough; a key that stands twice counts with its salts, or it would leave no trace in the XOR. A bucket of
+    two sets has one pair: it is left out if that has been tested, and once a forest turn has ``settled`` such buckets."""
     members = [F.bit_xor(F.xxhash64("key", "salt", F.lit(seed))).alias(f"_members{seed}") for seed in (1, 2)]
     open_names = rows.groupBy("name").agg(
         F.min("component").alias("_low"), F.max("component").alias("_high"), F.max("salt").alias("_salts"),
-        F.count("*").alias("_rows"), *members,
-    ).filter(F.col("_low") != F.col("_high")).groupBy("_rows", "_members1", "_members2").agg(
+        F.count("*").alias("_rows"), F.min("key").alias("a"), F.max("key").alias("b"), *members,
+    ).filter(F.col("_low") != F.col("_high")).groupBy("_rows", "_members1", "_members2", "a", "b").agg(
         F.min("name").alias("name"), F.max(F.col("_salts") > 0).alias("hot"))
+    if settled:
+        open_names = open_names.filter(F.col("_rows") > 2)
+    elif tested is not None:
+        known = tested.withColumn("_rows", F.lit(2).cast("long"))
+        open_names = open_names.join(known, ["a", "b", "_rows"], "left_anti")
     every = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS))).otherwise(F.array(F.lit(0)))
     rows = rows.join(open_names.select("name", "hot"), "name")
     least = rows.groupBy("key").agg(F.slice(F.concat(
@@ -362,16 +399,18 @@ def _grouped(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     """The rows of ``_sets`` that have shingles, with their component, and those that have none."""
     bound_batches(docs.sparkSession)
     members = stored(_sets(docs, words), "jaccard-members")
-    buckets = stored(_buckets(docs, words), "jaccard-buckets")
+    buckets = stored(_buckets(members), "jaccard-buckets")
     contents = stored(_contents(docs, members, buckets.select("key").distinct(), words), "jaccard-contents")
     labels = buckets.select("key").distinct().withColumn("component", F.col("key"))
     tested = None
     for turn in range(STAR_TURNS + FOREST_TURNS + 1):
         rows = buckets.join(labels, "key")
-        pairs = _meeting(rows, turn) if turn < STAR_TURNS else _remaining(rows, contents, turn < STAR_TURNS + FOREST_TURNS)
+        star = turn < STAR_TURNS
+        pairs = _meeting(rows, turn) if star else _remaining(
+            rows, contents, tested, turn < STAR_TURNS + FOREST_TURNS, turn > STAR_TURNS)
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        labels = _merged(labels, _verified(pairs, contents))
+        labels = _merged(labels, _verified(_bounded(pairs, contents) if star else pairs, contents))
     filled = members.filter("n_shingles > 0").join(labels, "key", "left").select(
         "doc_id", "mark", "key", "n_shingles", F.coalesce("component", "key").alias("_component"))
     return filled, members.filter("n_shingles = 0")
@@ -391,17 +430,23 @@ def groups(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """``docs`` with one document of each group, the one of least id (of several texts under that id the one of
-    least set key); rows that repeat its id and text become one too. Documents without shingles, rows without
-    an id and texts of other groups under the same id stay."""
-    filled, _ = _grouped(docs.filter("doc_id is not null"), words)
+    least set key), with all its columns as they are, whatever their names.
+
+    Rows that repeat id and text become one: the least by their columns as text, in their order, nulls first. Documents
+    without shingles (null, empty or blank texts) and texts of other groups under the same id stay; rows without an id
+    stay, each; an empty table stays empty."""
+    filled, empty = _grouped(docs.filter("doc_id is not null"), words)
     row = F.struct("doc_id", "key", "mark")
     least = filled.groupBy("_component").agg(F.min(row).alias("_least"))
-    dropped = filled.join(least, "_component").filter(row != F.col("_least")).select(
-        F.col("doc_id").alias("_dropped"), F.col("mark").alias("_dropped_mark")).distinct()
-    kept = docs.join(
-        dropped, (F.col("doc_id") == F.col("_dropped")) & (_mark("text") == F.col("_dropped_mark")), "left_anti")
-    once = kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
-    return once.union(kept.filter("doc_id is null"))
+    dropped = filled.join(least, "_component").filter(row != F.col("_least")).select("doc_id", "mark", F.lit(True).alias("gone"))
+    often = filled.select("doc_id", "mark").union(empty.select("doc_id", "mark")).groupBy("doc_id", "mark").count().filter("count > 1")
+    fate = stored(dropped.distinct().join(often, ["doc_id", "mark"], "full").select(
+        F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.coalesce("gone", F.lit(False)).alias("_gone")), "jaccard-fates")
+    same = (F.col("doc_id") == F.col("_id")) & (_mark("text") == F.col("_mark"))
+    single = docs.join(fate, same, "left_anti")
+    first = Window.partitionBy("_id", "_mark").orderBy(*[F.col(c).cast("string") for c in docs.columns])
+    repeated = docs.join(fate.filter(~F.col("_gone")), same).withColumn("_nth", F.row_number().over(first)).filter("_nth = 1")
+    return single.unionByName(repeated.select(*docs.columns))
 
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

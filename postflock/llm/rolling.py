@@ -10,12 +10,13 @@ import functools
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 SHINGLE_WORDS = 5
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=16)
 def _powers(size: int, base: int) -> np.ndarray:
     powers = np.full(size, base, dtype=np.uint64)
     powers[0] = 1
@@ -27,7 +28,7 @@ def _table(size: int, base: int) -> np.ndarray:
 
 
 def _inverse(size: int) -> np.ndarray:
-    return _table(size, pow(BASE, -1, 1 << 64))
+    return _table(size, INVERSE)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

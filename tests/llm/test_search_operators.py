@@ -116,10 +116,10 @@ def test_components_with_salted_buckets(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "STAR_TURNS", 1)
     rows = _copies()
     tokens = [rolling.shingles(t) for _, t in rows]
-    post = jaccard._post(5)
     import pandas as pd
-    frames = list(post(iter([pd.DataFrame({"text": [t for _, t in rows]})])))
-    salted = pd.concat(frames)
+    filled = [t for t in tokens if t.size]
+    sets = pd.DataFrame({"key": [jaccard.set_key(t) for t in filled], "names": [jaccard.postings(t).tobytes() for t in filled]})
+    salted = pd.concat(jaccard._post(iter([sets])))
     assert (salted.salt > 0).any() and salted.key.nunique() == len({jaccard.set_key(t) for t in tokens})
     for name, rows_of in salted[salted.salt > 0].groupby("name"):
         faces = salted[(salted["name"] == name) & (salted.salt == 0)].key
@@ -176,6 +176,33 @@ def test_one_of_each_group_stays(spark):
     assert Counter(r.doc_id for r in kept.collect()) == Counter({i: 1 for i in (1, 2, 3, 4, 5, 7, 8, 10)} | {11: 2, None: 2})
 
 
+def test_of_equal_rows_the_least_stays(spark):
+    """Rows of one id and text that differ elsewhere, equal rows, and copies of them under another id."""
+    rows = [(4, PROSE, "fr", "z"), (4, PROSE, "de", "z"), (4, PROSE, None, "z"), (4, PROSE, None, "z"), (5, PROSE, "aa", "a"),
+            (6, "", "b", "s"), (6, "", "a", "s"), (6, None, "c", "s"), (None, PROSE, "x", "s"), (None, PROSE, "x", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    kept = jaccard.keep_one(docs).collect()
+    assert Counter(map(tuple, kept)) == Counter([(4, PROSE, None, "z"), (6, None, "c", "s"), rows[8], rows[9]])
+
+
+def test_full_coordinates_are_not_ruled_out():
+    points = np.zeros((3, jaccard.COORDINATES), dtype=np.uint16)
+    points[0, 5] = points[1, 5] = jaccard.MOST
+    tree = jaccard.CountTree(points, np.array([10**7, 10**7, 10**7]))
+    assert tree.search(points[0], 10**7).tolist() == [0, 1]
+    rows = jaccard.pd.DataFrame({"a": [1, 1], "b": [2, 3], "size_a": [10**7] * 2, "size_b": [10**7] * 2,
+                                 "counts_a": [points[0].tobytes()] * 2, "counts_b": [points[1].tobytes(), points[2].tobytes()]})
+    assert [tuple(r) for f in jaccard._may_link(iter([rows])) for r in f.to_numpy()] == [(1, 2)]
+
+
+def test_rows_without_an_id_meet_by_text(spark):
+    """Many rows without id, each with its own text and near copies: contents come from one row per set."""
+    rng = random.Random(4)
+    texts = [(None, " ".join(f"n{i // 2}w{j}" for j in range(60)) + (" end" if i % 2 else "")) for i in range(60)]
+    found = jaccard.groups(documents(spark, texts)).collect()
+    assert Counter(map(tuple, found)) == _components(texts)
+
+
 def test_only_copies_of_an_id_go(spark):
     other = "an entirely different text of the same id about rivers and hills"
     texts = [(3, PROSE), (7, PROSE + " again"), (7, other), (7, ""), (8, other + " too"), (9, PROSE), (9, "short"), (10, other)]
