@@ -34,7 +34,7 @@ from postflock.operators.components import components
 
 COORDINATES = 256
 FOLD = 4
-MOST = (1 << 16) - 1
+MOST = (1 << 8) - 1
 LEAF = 32
 SMALL = 64
 GROUPS_PER_SIZE = 0.64
@@ -42,6 +42,7 @@ HOT = 256
 STAR_TURNS = 2
 FOREST_TURNS = 1
 NAMES_KEPT = 16
+BROADCAST_PAIRS = 500_000
 NO_NAME = (1 << 63) - 1
 SALTS = 16
 SIZE_CAP = 6
@@ -66,10 +67,10 @@ def set_key(tokens: np.ndarray) -> int:
 
 
 def counts(tokens: np.ndarray) -> np.ndarray:
-    """The point of a set: how many of its tokens fall on each coordinate, MOST at most. Sets of some 16 million
-    tokens come so far; two such points with a full coordinate are not bounded but verified."""
+    """The point of a set: how many of its tokens fall on each coordinate, MOST at most. Sets of some 50,000 tokens
+    come so far; two points with a full coordinate are not bounded but verified."""
     found = np.bincount((tokens % np.uint64(COORDINATES)).astype(np.int64), minlength=COORDINATES)
-    return np.minimum(found, MOST).astype("<u2")
+    return np.minimum(found, MOST).astype(np.uint8)
 
 
 def _band(size: int) -> int:
@@ -190,7 +191,11 @@ def _contents(docs: DataFrame, members: DataFrame, keys: DataFrame, words: int)
     return found.mapInPandas(_content(words), "key long, size long, counts binary, tokens array<long>")
 
 
-def _sides(contents: DataFrame, *columns: str) -> list[DataFrame]:
+def _sides(pairs: DataFrame, contents: DataFrame, *columns: str) -> list[DataFrame]:
+    """The contents of both ends of stored ``pairs``. Few pairs are sent to where the contents lie, so that only the
+    contents in question move; many are joined."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    contents = contents.join(F.broadcast(keys) if pairs.count() <= BROADCAST_PAIRS else keys, "key", "left_semi")
     return [contents.select(F.col("key").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in columns]) for n in ("a", "b")]
 
 
@@ -198,7 +203,7 @@ def _may_link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         if rows.empty:
             continue
-        one, two = (np.frombuffer(b"".join(rows[c]), dtype="<u2").reshape(len(rows), -1) for c in ("counts_a", "counts_b"))
+        one, two = (np.frombuffer(b"".join(rows[c]), dtype=np.uint8).reshape(len(rows), -1) for c in ("counts_a", "counts_b"))
         shared = np.minimum(one, two).sum(axis=1, dtype=np.int64)
         full = (one == MOST).any(axis=1) & (two == MOST).any(axis=1)
         yield rows.loc[full | (shared >= least_overlap(rows.size_a.to_numpy(), rows.size_b.to_numpy())), ["a", "b"]]
@@ -206,13 +211,13 @@ def _may_link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _bounded(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     """The pairs (a, b) that the sum of their points' minima does not rule out."""
-    one, two = _sides(contents, "size", "counts")
+    one, two = _sides(pairs, contents, "size", "counts")
     return pairs.join(one, "a").join(two, "b").mapInPandas(_may_link, "a long, b long")
 
 
 def _verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link."""
-    one, two = _sides(contents, "size", "tokens")
+    one, two = _sides(pairs, contents, "size", "tokens")
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
     return pairs.join(one, "a").join(two, "b").filter(
         _link(shared, F.col("size_a"), F.col("size_b"))).select("a", "b")
@@ -296,7 +301,7 @@ def _tree_join(forest: bool):
         found: set[tuple[int, int]] = set()
         if len(rows):
             columns = {c: rows[c].to_numpy() for c in ("key", "component", "size", "left", "right")}
-            columns["counts"] = np.frombuffer(b"".join(rows["counts"]), dtype="<u2").reshape(len(rows), -1)
+            columns["counts"] = np.frombuffer(b"".join(rows["counts"]), dtype=np.uint8).reshape(len(rows), -1)
             columns["least"] = np.stack(rows["least"].to_list())
             name, block = rows["name"].to_numpy(), rows["block"].to_numpy()
             change = (name[1:] != name[:-1]) | (block[1:] != block[:-1])
@@ -404,13 +409,15 @@ def _grouped(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     labels = buckets.select("key").distinct().withColumn("component", F.col("key"))
     tested = None
     for turn in range(STAR_TURNS + FOREST_TURNS + 1):
-        rows = buckets.join(labels, "key")
         star = turn < STAR_TURNS
+        rows = buckets.join(labels, "key").repartition(*["name", "salt"][:2 if star else 1])
         pairs = _meeting(rows, turn) if star else _remaining(
             rows, contents, tested, turn < STAR_TURNS + FOREST_TURNS, turn > STAR_TURNS)
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        labels = _merged(labels, _verified(_bounded(pairs, contents) if star else pairs, contents))
+        if star:
+            pairs = stored(_bounded(pairs, contents), "jaccard-bounded")
+        labels = _merged(labels, _verified(pairs, contents))
     filled = members.filter("n_shingles > 0").join(labels, "key", "left").select(
         "doc_id", "mark", "key", "n_shingles", F.coalesce("component", "key").alias("_component"))
     return filled, members.filter("n_shingles = 0")

@@ -186,7 +186,7 @@ def test_of_equal_rows_the_least_stays(spark):
 
 
 def test_full_coordinates_are_not_ruled_out():
-    points = np.zeros((3, jaccard.COORDINATES), dtype=np.uint16)
+    points = np.zeros((3, jaccard.COORDINATES), dtype=np.uint8)
     points[0, 5] = points[1, 5] = jaccard.MOST
     tree = jaccard.CountTree(points, np.array([10**7, 10**7, 10**7]))
     assert tree.search(points[0], 10**7).tolist() == [0, 1]
