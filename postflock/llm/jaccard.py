@@ -41,7 +41,7 @@ GROUPS_PER_SIZE = 0.64
 HOT = 256
 STAR_TURNS = 2
 FOREST_TURNS = 1
-NAMES_KEPT = 16
+NAMES_KEPT = 8
 BROADCAST_PAIRS = 500_000
 NO_NAME = (1 << 63) - 1
 SALTS = 16
