@@ -165,7 +165,7 @@ def _direct(rule: Rule) -> Rule:
     return rule
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, into: str = "secrets") -> DataFrame:
     """Adds ``secrets`` to the columns of ``docs``: array<struct(kind, start, end)> ordered by start, then
     by the order of the rules.
 
@@ -190,7 +190,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     )
     return (
         docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_secret_doc")), "left")
-        .withColumn("secrets", ordered).drop("_secret_doc", "_secret_kinds")
+        .withColumn(into, ordered).drop("_secret_doc", "_secret_kinds")
     )
 
 
@@ -217,18 +217,23 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by the mark and ``n_chars`` set to the new length where
-    that column exists. Spans that overlap are replaced as one. Documents without secrets stay as they are."""
-    found = scan(docs)
+    that column exists. Spans that overlap are replaced as one. Documents without secrets stay as they are, null and
+    empty texts among them; all other columns stay, whatever their names; repeated rows and rows without an id are
+    treated each; an empty table stays empty."""
+    spans = "_secrets"
+    while spans in docs.columns:
+        spans += "_"
+    found = scan(docs, into=spans)
     text = F.col("text")
     cut = F.aggregate(
-        "secrets", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(
             s["end"].alias("at"),
             F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"),
         )).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    hit = F.size("secrets") > 0
+    hit = F.size(spans) > 0
     out = found.withColumn("text", F.when(hit, cut).otherwise(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))

@@ -196,6 +196,23 @@ def test_pipeline_stages(spark):
     assert civil.count() >= 0.8 * docs.count()
 
 
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Every stage keeps the columns and their values, bears odd rows and an empty table."""
+    labels = _labelled(spark)[1].select("doc_id", "toxic")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for rows in (odd_texts(), []):
+        docs = documents(spark, rows)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, docs, str(tmp_path))
+            assert kept.columns == docs.columns
+            assert all((r.secrets, r.key, r.part) == ("x", "k", 7) for r in kept.collect())
+            docs = kept
+        texts = {(i, t or "") for i, t in rows}
+        assert {(r.doc_id, r.text or "") for r in docs.collect()} <= texts and bool(rows) == bool(docs.count())
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert len({r.doc_id for r in pieces}) == docs.select("doc_id").distinct().count()
+
+
 def test_spans_over_long_runs_are_whole():
     field = pii.train()
     for many in (500, 511, 512, 513, 1030):

@@ -264,6 +264,7 @@ def test_redaction(spark):
         spans = [s for t in before for s in _secrets(t)]
         assert r.text in before if not spans else r.text not in before and r.n_chars == len(r.text)
         assert not _secrets((r.text or "").replace("[SECRET]", " "))
+        assert (r.secrets, r.key, r.part, r["name"], r.position) == ("x", "k", 7, "n", "p")
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
