@@ -16,22 +16,26 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go; all others stay, with all their columns. Null and empty texts hold
+    no toxic word; repeated rows fare alike; an empty table stays empty."""
     return toxicity.keep_civil(docs, read_table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of alike documents the one of least id stays."""
+    """Of each group of alike documents the one of least id stays, and of rows that repeat id and text the least by their
+    columns as text. Null, empty and blank texts and rows without an id stay; an empty table stays empty."""
     return jaccard.keep_one(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; secrets in them are replaced by a mark, and n_chars follows."""
+    """All documents stay, null and empty ones and repeated rows too; secrets in them are replaced by a mark, and n_chars
+    follows; other columns stay as they are, whatever their names."""
     return secrets.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as pieces of mixed sequences."""
+    """All documents as pieces of mixed sequences; a null or empty text is its end id alone; repeated rows are packed
+    each; an empty table gives no pieces."""
     return packing.pack(docs)
 
 

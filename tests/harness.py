@@ -28,6 +28,9 @@ def differences(spark_frame: pd.DataFrame, sql_frame: pd.DataFrame) -> str:
     if sorted(a.columns) != sorted(b.columns):
         return f"columns {sorted(a.columns)} vs {sorted(b.columns)}"
     for c in a.columns:
+        if "Int64" in (str(a[c].dtype), str(b[c].dtype)):  # whole numbers with nulls, which pandas may hold as floats
+            a[c], b[c] = (x[c].astype("Int64").astype(object).where(x[c].notna(), None) for x in (a, b))
+            continue
         if a[c].dtype.kind in "iuf" and b[c].dtype.kind in "iuf" and a[c].dtype.kind != b[c].dtype.kind:
             return f"type of {c}: {a[c].dtype} vs {b[c].dtype}"
         if a[c].dtype.kind in "iub" and b[c].dtype.kind in "iub":
