@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from postflock.llm.common import bound_batches, running_total, stored, texts
-from postflock.llm.tokens import VOCABULARY, encoder, packed_ids
+from postflock.llm.tokens import VOCABULARY, encoder, id_width, packed_ids
 
 SEQUENCE_TOKENS = 2048
 WINDOW_TOKENS = 32 * SEQUENCE_TOKENS
@@ -40,7 +40,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         F.monotonically_increasing_id().alias("row_id"), "doc_id",
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         packed_ids("text", vocabulary).alias("ids"))
-    tokens = F.floor(F.length("ids") / encoder(vocabulary).width) + 1
+    tokens = F.floor(F.length("ids") / id_width(vocabulary)) + 1
     return stored(rows.withColumn("tokens", tokens), "packing-ids")
 
 

@@ -87,6 +87,20 @@ class Encoder:
         return self._type.itemsize
 
 
+@functools.lru_cache(maxsize=2)
+def id_width(vocabulary: str = VOCABULARY) -> int:
+    """``Encoder.width`` for the driver, which need not hold a tokenizer to know it."""
+    import public_tokenizers
+
+    path = vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary)
+    with open(path, "rb") as lines:
+        most = max(int(line.split()[1]) for line in lines)
+    if os.path.exists(names := os.path.splitext(path)[0] + ".json"):
+        with open(names, encoding="utf-8") as file:
+            most = max([most, *(t["id"] for t in json.load(file)["added_tokens"])])
+    return 2 if most < 1 << 16 else 4
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(vocabulary: str = VOCABULARY) -> Encoder:
     """One per Python worker: its remembered words serve all tasks that the worker runs."""
