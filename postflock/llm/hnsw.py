@@ -7,6 +7,9 @@ array of neighbour numbers, ``width`` per node, -1 where there are fewer. Nodes
 queries walk the graph in step, so the inner loops are numpy over whole batches.
 
 Equal vectors are one node. Every shard answers every query, and the answers are merged.
+
+Graphs are built and walked in single precision on scaled copies, so that components of any finite size fit; the nodes
+found are scored and ordered in double precision on the vectors themselves.
 """
 
 from __future__ import annotations
@@ -27,8 +30,9 @@ BUILD_BEAM = 96
 SEARCH_BEAM = 192
 STEP = 4
 BATCH = 1024
+SCORED = 64
 
-INDEX = ("dim int, shard int, ids array<long>, vectors array<float>, entry int, "
+INDEX = ("dim int, shard int, ids array<long>, vectors array<double>, entry int, "
          "layers array<struct<nodes array<int>, width int, neighbours array<int>>>")
 
 
@@ -40,6 +44,11 @@ def _levels(ids: np.ndarray, degree: int) -> np.ndarray:
     return np.floor(-np.log(part) / math.log(degree)).astype(int)
 
 
+def _scaled(vectors: np.ndarray, largest: np.ndarray | float) -> np.ndarray:
+    """Single-precision copies, divided by ``largest``, the largest component they shall be compared by."""
+    return (vectors / largest).astype(np.float32)
+
+
 def beam_search(
     vectors: np.ndarray, neighbours: np.ndarray, queries: np.ndarray, entries: np.ndarray, beam: int
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -109,11 +118,12 @@ class Graph:
         levels = _levels(ids, degree)
         order = np.lexsort((ids, -levels))
         self.ids, levels = ids[order], levels[order]
-        self.vectors = np.ascontiguousarray(vectors[order], dtype=np.float32)
-        length = np.einsum("nd,nd->n", self.vectors, self.vectors, dtype=np.float64)
+        self.vectors = np.ascontiguousarray(vectors[order], dtype=np.float64)
+        walked = _scaled(self.vectors, np.abs(self.vectors).max())
+        length = np.einsum("nd,nd->n", walked, walked, dtype=np.float64)
         lift = np.sqrt(np.maximum(length.max() - length, 0)).astype(np.float32)
         scale = np.float32(1 / math.sqrt(length.max()))
-        self._lifted = np.column_stack([self.vectors, lift]) * scale
+        self._lifted = np.column_stack([walked, lift]) * scale
         self._lifted = np.vstack([self._lifted, np.zeros((1, self._lifted.shape[1]), dtype=np.float32)])
         self.entry = 0
         self.layers: list[np.ndarray] = []
@@ -200,16 +210,19 @@ def search(
     ids: np.ndarray, vectors: np.ndarray, layers: list[np.ndarray], entry: int, queries: np.ndarray,
     nearest: int, beam: int = SEARCH_BEAM,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """(places in ids, exact inner products) of the nearest found per query; -1 behind."""
-    padded = np.vstack([vectors, np.zeros((1, vectors.shape[1]), dtype=np.float32)]).astype(np.float32)
+    """(places in ids, inner products in double precision) of the nearest found per query; -1 behind."""
+    walked = _scaled(vectors, np.abs(vectors).max())
+    padded = np.vstack([walked, np.zeros((1, walked.shape[1]), dtype=np.float32)])
     found_nodes, found_sims = [], []
     for low in range(0, len(queries), BATCH):
-        part = queries[low:low + BATCH].astype(np.float32)
+        own = queries[low:low + BATCH]
+        part = _scaled(own, np.abs(own).max(axis=1, keepdims=True))
         at = np.full((len(part), 1), entry, dtype=np.int64)
         for n, layer in enumerate(layers):
             last = n == len(layers) - 1
             at = beam_search(padded[:len(layer) - 1], layer, part, at, max(beam, nearest) if last else 8)[0]
-        exact = np.einsum("qd,qnd->qn", queries[low:low + BATCH].astype(np.float64), padded[at].astype(np.float64))
+        exact = np.concatenate([
+            np.einsum("qd,qnd->qn", own[n:n + SCORED], vectors[at[n:n + SCORED]]) for n in range(0, len(own), SCORED)])
         exact[at < 0] = -np.inf
         best = np.lexsort((np.where(at >= 0, ids[at], 0), -exact), axis=1)[:, :nearest]
         found_nodes.append(np.take_along_axis(at, best, axis=1))
@@ -218,7 +231,7 @@ def search(
 
 
 def _build(rows: pd.DataFrame) -> pd.DataFrame:
-    graph = Graph(rows.cls.to_numpy(np.int64), np.stack(rows.embedding.to_numpy()).astype(np.float32))
+    graph = Graph(rows.cls.to_numpy(np.int64), np.stack(rows.embedding.to_numpy()).astype(np.float64))
     return pd.DataFrame({
         "dim": [rows.dim.iloc[0]], "shard": [rows.shard.iloc[0]], "ids": [graph.ids],
         "vectors": [graph.vectors.ravel()], "entry": [graph.entry], "layers": [graph.rows()]})
@@ -237,8 +250,8 @@ def _answer(nearest: int):
         for layer in own["layers"]:
             near = np.asarray(layer["neighbours"], dtype=np.int64).reshape(-1, layer["width"])
             layers.append(np.vstack([near, np.full((1, layer["width"]), -1)]))
-        vectors = np.asarray(own["vectors"], dtype=np.float32).reshape(len(ids), -1)
-        asked = np.stack(queries.embedding.to_numpy()).astype(np.float32)
+        vectors = np.asarray(own["vectors"], dtype=np.float64).reshape(len(ids), -1)
+        asked = np.stack(queries.embedding.to_numpy()).astype(np.float64)
         at, score = search(ids, vectors, layers, int(own["entry"]), asked, nearest)
         query = np.repeat(queries.cls.to_numpy(np.int64), at.shape[1]).reshape(at.shape)
         good = at >= 0
@@ -258,11 +271,13 @@ def neighbours(
     ``nearest`` other rows of largest inner product that were found, ties to the smaller id.
 
     Rows whose vector is null, zero or holds a null or non-finite component, and rows without an id, take no
-    part; rows repeated whole count once; an id with two vectors is two rows. Vectors meet only vectors of their own length. Of equal vectors the
-    ``nearest + 1`` least ids are carried along, which is all that an answer can hold.
+    part; rows repeated whole count once; an id with two vectors is two rows. Vectors meet only vectors of their own
+    length. Components may be of any number type and are read as doubles; a product beyond the doubles is infinite. Of
+    equal vectors the ``nearest + 1`` least ids are carried along, which is all that an answer can hold.
     """
     spark = vectors.sparkSession
-    rows = vectors.select("vec_id", "embedding", is_query.alias("asked")).filter(
+    rows = vectors.select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("asked")).filter(
         F.col("vec_id").isNotNull() & _usable(F.col("embedding"))).distinct()
     equal = Window.partitionBy("embedding").orderBy("vec_id")
     classes = stored(
