@@ -3,15 +3,18 @@
 Dated entries (key, listed_at, blocked, category) become validity intervals: an entry holds until the next one
 of its key. A capture asks for every suffix of its host and for its host with the first path segment, and an
 as-of join finds the entry of each key that held at the time. The join is one sorted pass over captures and
-entries of a key; a key's captures are dealt over salts, with its entries repeated in each, so that a host with
-a third of all captures is no single task.
+entries of a key. Captures are counted per key first: a key with too many for one task is dealt over as many salts as
+its count needs, with its entries repeated in each, so that a host with a third of all captures is no single task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SALTS = 16
+from postflock.llm.common import stored
+
+TASK_ROWS = 200_000
+HOT_KEYS = 10_000
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)"
 
@@ -48,19 +51,32 @@ def intervals(entries: DataFrame) -> DataFrame:
         (~F.col("e.open")).alias("blocked"), F.col("e.category").alias("category"))
 
 
-def as_of(captures: DataFrame, entries: DataFrame, salts: int = SALTS) -> DataFrame:
+def _hot(asked: DataFrame, task_rows: int) -> DataFrame:
+    """(key, salts) of the keys with more captures than a task shall sort, at most HOT_KEYS of them: where more keys
+    than that exceeded ``task_rows``, the tasks are larger instead, still no more than a 10,000th of all rows."""
+    most = max(task_rows, -(-asked.count() // HOT_KEYS))
+    return asked.groupBy("key").count().filter(F.col("count") > most).select(
+        "key", F.ceil(F.col("count") / most).cast("int").alias("salts"))
+
+
+def as_of(captures: DataFrame, entries: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """captures (page_id, url, fetched_at) with ``rejected``, and key, category, valid_from and valid_to of the
     longest blocking entry in force (null if none). One row per row of captures; a null url or time, or a host
-    without two labels, is not rejected."""
-    rows = captures.select("page_id", "url", "fetched_at").withColumn("row", F.monotonically_increasing_id())
-    asked = rows.select(
+    without two labels, is not rejected. Row numbers are stored before the join reads them twice."""
+    rows = stored(captures.select("page_id", "url", "fetched_at").withColumn("row", F.monotonically_increasing_id()),
+                  "url_lists-rows")
+    every = rows.select(
         "row", F.col("fetched_at").alias("at"), F.explode(keys(F.coalesce("url", F.lit("")))).alias("key"),
-    ).filter("at is not null").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
+    ).filter("at is not null")
+    hot = F.broadcast(stored(_hot(every, task_rows), "url_lists-hot"))
+    salts = F.coalesce("salts", F.lit(1))
+    asked = every.join(hot, "key", "left").select(
+        "row", "at", "key", F.pmod(F.xxhash64("row"), salts).cast("int").alias("salt"))
     held = intervals(entries)
     entry = F.struct("valid_from", "valid_to", "blocked", "category")
-    filed = held.select(
+    filed = held.join(hot, "key", "left").select(
         F.lit(None).cast("long").alias("row"), F.col("valid_from").alias("at"), "key",
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), entry.alias("entry"))
+        F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), entry.alias("entry"))
     both = asked.withColumn("entry", F.lit(None).cast(filed.schema["entry"].dataType)).unionByName(filed)
     up_to = Window.partitionBy("key", "salt").orderBy("at", F.col("row").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)

@@ -1,6 +1,7 @@
 """Neighbours, near copies, secrets, URL lists: against brute force and SQL."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -53,6 +54,34 @@ def test_neighbours_of_odd_rows(spark):
     assert hnsw.neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
+def test_neighbours_score_doubles(spark):
+    """Components that single precision would round or lose: scores are those of the doubles, whatever their size."""
+    rng = random.Random(8)
+    for size in (1.0, 1e-60, 1e100):
+        rows = [(i, [rng.gauss(0, 1) * size for _ in range(8)]) for i in range(300)]
+        rows.append((300, [rng.gauss(0, 1) * size * 50 for _ in range(8)]))
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        found = defaultdict(list)
+        for r in hnsw.neighbours(frame, F.col("vec_id") % 20 == 0, shard_rows=120).orderBy("query_id", "rank").collect():
+            found[r.query_id].append((r.vec_id, r.score))
+        own = dict(rows)
+        hits = 0
+        for q in range(0, 301, 20):
+            exact = sorted(((float(np.einsum("d,d->", np.array(own[q]), np.array(v))), i) for i, v in rows if i != q),
+                           key=lambda x: (-x[0], x[1]))[:20]
+            assert all(abs(score - float(np.dot(own[q], own[i]))) <= 1e-13 * size * size * 500 for i, score in found[q])
+            hits += len({i for i, _ in found[q]} & {i for _, i in exact})
+        assert hits >= 0.9 * 16 * 20
+
+
+def test_neighbours_of_one_huge_vector(spark):
+    """A finite component beyond single precision leaves the answers of the others alone."""
+    rows = [(i, [math.cos(i), math.sin(i), 1.0]) for i in range(100)] + [(101, [1e39, 0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = hnsw.neighbours(frame, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert len(found) == 20 and found[0].vec_id == 101 and found[0].score == 1e39
+
+
 def test_recall_on_the_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id", "embedding").collect()]
     assert _recall(spark, rows) >= 0.9
@@ -291,3 +320,18 @@ def test_url_lists_as_of(spark):
                 (5, None, False, None), (None, 12, True, key)]
     assert found == Counter(expected)
     assert url_lists.as_of(captures.limit(0), entries).count() == 0 and url_lists.as_of(captures, entries.limit(0)).filter("rejected").count() == 0
+
+
+def test_url_lists_deal_hot_keys(spark):
+    """Keys with more captures than a task shall take are dealt; the answers are the same."""
+    rng = random.Random(5)
+    captures = spark.createDataFrame(
+        [(i, f"http://{rng.choice(['a.hot.org', 'b.hot.org', 'c.net'])}/x{i % 3}", rng.randrange(100)) for i in range(400)],
+        "page_id long, url string, fetched_at long")
+    entries = spark.createDataFrame(
+        [(k, at, rng.random() < 0.5, "spam") for k in ("hot.org", "a.hot.org", "c.net", "c.net/x1") for at in range(0, 100, 7)],
+        "key string, listed_at long, blocked boolean, category string")
+    plain = Counter(map(tuple, url_lists.as_of(captures, entries).collect()))
+    dealt = Counter(map(tuple, url_lists.as_of(captures, entries, task_rows=9).collect()))
+    assert sum(plain.values()) == 400 and any(r[3] for r in plain) and plain == dealt
+    assert url_lists._hot(captures.selectExpr("explode(array('k')) as key"), 9).collect()[0].salts == 45
