@@ -1,10 +1,11 @@
 """Fitted models and sentiment. Models have no SQL form; their queries are checked by tests."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from postflock.catalog.registry import WORD, entry, q6, r6
-from postflock.catalog.weights import author_posts
-from postflock.operators import lexicon as lx, similarity as sm, tfidf as ti
+from postflock.catalog.weights import SCALED_CTE, author_posts
+from postflock.operators import lexicon as lx, similarity as sm, starts, tfidf as ti
 from postflock.plans import cluster as cl, recommend as rc, tags as tg
 from postflock.session import cut_lineage
 
@@ -83,6 +84,33 @@ def kmeans(t):
     return cl.kmeans(features, cl.BEHAVIOUR_CLUSTERS).withColumnRenamed("id", "user_id")
 
 
+_STEP = f"""
+WITH {SCALED_CTE},
+p AS (SELECT f.user_id, axis, CASE WHEN d > 1e-12 THEN (x - m) / d ELSE 0 END AS x FROM f JOIN s USING (axis)),
+ids AS (SELECT user_id, row_number() OVER (ORDER BY user_id) AS i, row_number() OVER (ORDER BY user_id DESC) AS j
+  FROM (SELECT DISTINCT user_id FROM p)),
+c AS (SELECT 0 AS start, i - 1 AS cluster, axis, x FROM p JOIN ids USING (user_id) WHERE i <= {cl.BEHAVIOUR_CLUSTERS}
+  UNION ALL
+  SELECT 1, {cl.BEHAVIOUR_CLUSTERS} - j, axis, x FROM p JOIN ids USING (user_id) WHERE j <= {cl.BEHAVIOUR_CLUSTERS}),
+g AS (SELECT user_id, start, cluster, sum((p.x - c.x) * (p.x - c.x)) AS gap FROM p JOIN c USING (axis) GROUP BY 1, 2, 3),
+near AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY user_id, start ORDER BY gap, cluster) = 1),
+cost AS (SELECT start, cluster, count(*) AS size, sum(gap) AS cost FROM near GROUP BY 1, 2)
+SELECT CAST(start AS BIGINT) AS start, cluster, axis, {q6('avg(x)')} AS x, any_value(size) AS size, {q6('any_value(cost)')} AS cost
+FROM near JOIN p USING (user_id) JOIN cost USING (start, cluster) GROUP BY start, cluster, axis"""
+
+
+@entry("m10_lloyd_step", _STEP)
+def lloyd_step(t):
+    """New centres, sizes and costs after one pass for two starts: the first and the last users by id."""
+    points = cl.prepared(cl.scaled(cl.behaviour_features(t.posts)))
+    k = cl.BEHAVIOUR_CLUSTERS
+    ends = [points.orderBy("id").limit(k).collect(), points.orderBy(F.desc("id")).limit(k).collect()[::-1]]
+    step = starts.moments(points, [np.array([r["v"] for r in rows]) for rows in ends])
+    return step.select(
+        F.col("start").cast("long").alias("start"), F.col("cluster").cast("long").alias("cluster"),
+        F.col("axis").cast("long").alias("axis"), r6(F.col("total") / F.col("size"), "x"), "size", r6("cost", "cost"))
+
+
 @entry("m11_kmeans_tfidf")
 def kmeans_text(t):
     features = cl.content_features(author_posts(t))

@@ -132,8 +132,11 @@ def features(t):
     return _long(cl.behaviour_features(t.posts)).filter(F.col("x") != 0)
 
 
+SCALED_CTE = f"f AS ({_FEATURES}), s AS (SELECT axis, avg(x) AS m, stddev_pop(x) AS d FROM f GROUP BY 1)"
+
+
 @entry("m8_scaled", f"""
-WITH f AS ({_FEATURES}), s AS (SELECT axis, avg(x) AS m, stddev_pop(x) AS d FROM f GROUP BY 1)
+WITH {SCALED_CTE}
 SELECT user_id, axis, {q6('CASE WHEN d > 1e-12 THEN (x - m) / d ELSE 0 END')} AS x FROM f JOIN s USING (axis)
 WHERE round(CASE WHEN d > 1e-12 THEN (x - m) / d ELSE 0 END, 6) <> 0""")
 def scaled(t):

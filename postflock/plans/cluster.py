@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from postflock.functions import text as tx, trend as tr
-from postflock.operators import tfidf as ti
+from postflock.operators import starts, tfidf as ti
 from postflock.operators.dbscan import dbscan, default_min_samples, renumber
 from postflock.operators.ranking import top_k
 from postflock.plans.stats import profiles
@@ -21,7 +19,6 @@ from postflock.session import cut_lineage
 TEXT_TERMS, TAG_TERMS = 100, 50
 CONTENT_CLUSTERS, BEHAVIOUR_CLUSTERS = 3, 5
 EPS = 0.5
-PARALLEL_FITS = 5
 # Projected axes for the neighbour search; the first three form its grid, all of them prune.
 GRID_AXES = 6
 SHOWN_TERMS, SHOWN_MEMBERS = 10, 5
@@ -97,10 +94,10 @@ def centred(features: DataFrame) -> DataFrame:
 
 
 def prepared(features: DataFrame) -> DataFrame:
-    """Features with a vector column, spread and sorted by id so that a fit can be repeated. Stored
-    once, so that the stages of every start read few, well filled partitions."""
+    """Features spread and sorted by id so that a fit can be repeated. Stored once, so that every pass reads
+    few, well filled partitions."""
     spread = features.repartition("id").sortWithinPartitions("id")
-    return cut_lineage(spread.withColumn("features", array_to_vector("v"))).persist()
+    return cut_lineage(spread.select("id", "v")).persist()
 
 
 def project(features: DataFrame, k: int = 2) -> DataFrame:
@@ -118,14 +115,13 @@ def project(features: DataFrame, k: int = 2) -> DataFrame:
 
 
 def kmeans(features: DataFrame, k: int, restarts: int = 10, seed: int = 42) -> DataFrame:
-    """(id, cluster): the best of several starts, clusters numbered by size, then least id."""
+    """(id, cluster): the best of several starts, clusters numbered by size, then least id. All starts share each pass
+    over the points; an empty table has no clusters."""
     data = prepared(features)
-    data.count()
-    # The starts are independent jobs of many short stages, so they run side by side.
-    with ThreadPool(min(restarts, PARALLEL_FITS)) as pool:
-        models = pool.map(lambda i: KMeans(k=k, seed=seed + i, maxIter=50).fit(data), range(restarts))
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    labels = cut_lineage(best.transform(data).select("id", "prediction"))
+    if data.isEmpty():
+        labels = data.select("id", F.lit(0).alias("prediction"))
+    else:
+        labels = cut_lineage(starts.assign(data, starts.fit(data, k, restarts, seed).best))
     data.unpersist()
     return renumber(labels, "prediction", "cluster")
 

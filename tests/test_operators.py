@@ -10,13 +10,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from postflock.operators import overlap as ov, tfidf as ti
-from postflock.operators import blocks as bl, dbscan as db, quantile as qu, ranking as rk, similarity as sm
+from postflock.operators import blocks as bl, dbscan as db, quantile as qu, ranking as rk, similarity as sm, starts
 from postflock.operators.dbscan import dbscan
 from postflock.operators.quantile import exact_quantile
 from postflock.operators.ranking import (
     bucketed_rank, dense_ids, first_unexcluded, first_wins, priority_union, top_k,
 )
-from postflock.plans import recommend as rc
+from postflock.plans import cluster as cl, recommend as rc
 
 
 def hot_sets(people=60, keys=25, seed=3):
@@ -339,3 +339,34 @@ def test_quantile_of_ten_million_sorts_few(spark, monkeypatch, shape):
     frame.unpersist()
     assert math.isclose(found, float(np.percentile(data, 80)), abs_tol=1e-12)
     assert all(s <= qu.SORTED_ROWS for s in sizes)
+
+
+def test_kmeans_of_many_starts(spark):
+    """No dearer than separate fits of the library, in fewer passes; the labels are those of the nearest centre."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(3)
+    middles = rng.normal(0, 6, (6, 4))
+    rows = [(i, (middles[i % 6] + rng.normal(0, 1, 4)).tolist()) for i in range(900)]
+    points = spark.createDataFrame(rows, "id long, v array<double>").repartition(5, "id").cache()
+    vectors = points.withColumn("features", array_to_vector("v"))
+    separate = [KMeans(k=6, seed=42 + i, maxIter=50).fit(vectors).summary for i in range(4)]
+    together = starts.fit(points, 6, 4)
+    assert min(together.costs) <= min(s.trainingCost for s in separate) * 1.001
+    assert together.passes < sum(s.numIter for s in separate) + 4 * 7
+    x = np.array([v for _, v in rows])
+    near = ((x[:, None, :] - together.best[None]) ** 2).sum(axis=2)
+    found = dict(map(tuple, starts.assign(points, together.best).collect()))
+    assert [found[i] for i in range(900)] == near.argmin(axis=1).tolist()
+    assert abs(near.min(axis=1).sum() - min(together.costs)) < 1e-6
+
+
+def test_kmeans_of_few_points(spark):
+    """Fewer different points than clusters, repeated points, one point, none."""
+    same = [(i, [1.0, 2.0]) for i in range(5)]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, v array<double>")
+    assert {r.cluster for r in cl.kmeans(frame(same), 3, restarts=2).collect()} == {0}
+    assert {r.id: r.cluster for r in cl.kmeans(frame(same + [(9, [5.0, 5.0])]), 3, restarts=2).collect()} == {**dict.fromkeys(range(5), 0), 9: 1}
+    assert cl.kmeans(frame([(3, [0.0, 0.0])]), 2).collect()[0].cluster == 0
+    assert cl.kmeans(frame([]), 2).count() == 0
