@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from postflock.catalog.registry import WORD, entry, q6, r6
 from postflock.catalog.weights import SCALED_CTE, author_posts
-from postflock.operators import lexicon as lx, similarity as sm, starts, tfidf as ti
+from postflock.operators import induced as ind, lexicon as lx, similarity as sm, starts, tfidf as ti
 from postflock.plans import cluster as cl, recommend as rc, tags as tg
 from postflock.session import cut_lineage
 
@@ -66,6 +66,26 @@ def backfill(t):
     return done.select("post_id", r6("sentiment_score", "score"), F.col("sentiment_label").alias("label"), "updated")
 
 
+@entry("m15_log_odds", rf"""
+WITH w AS (SELECT DISTINCT post_id, sentiment_score > 0 AS good, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_'']+')) AS word
+  FROM scored_text_posts WHERE sentiment_score <> 0),
+c AS (SELECT word, count(*) FILTER (good) AS pos, count(*) FILTER (NOT good) AS neg FROM w GROUP BY 1),
+a AS (SELECT *, sum(pos) OVER () AS p, sum(neg) OVER () AS n, {ind.PRIOR} * (pos + neg) / (sum(pos + neg) OVER ()) AS a FROM c),
+o AS (SELECT *, ln((pos + a) / (p + {ind.PRIOR})) - ln((neg + a) / (n + {ind.PRIOR})) AS odds FROM a)
+SELECT word, pos, neg, {q6('odds')} AS log_odds, {q6('odds / sqrt(1 / (pos + a) + 1 / (neg + a))')} AS z FROM o""")
+def log_odds(t):
+    """Every word of the scored texts with its odds of standing in a positive rather than a negative one."""
+    return ind.log_odds(t.scored_text_posts).select("word", "pos", "neg", r6("log_odds", "log_odds"), r6("z", "z"))
+
+
+@entry("m15_held_out")
+def held_out(t):
+    """Posts of the fold that the induced lexicon has not seen, by the sign of their score and of the lexicon's."""
+    scored = ind.held_out(t.posts)
+    sign = F.signum("score").cast("int").alias("found")
+    return scored.groupBy("said", sign).agg(F.count(F.lit(1)).alias("posts"))
+
+
 @entry("m6_als")
 def latent(t):
     found = rc.latent_posts(t.posts, t.post_tags, 10)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postflock.operators import overlap as ov, tfidf as ti
-from postflock.operators import blocks as bl, dbscan as db, quantile as qu, ranking as rk, similarity as sm, starts
+from postflock.operators import blocks as bl, dbscan as db, induced as ind, quantile as qu, ranking as rk, similarity as sm, starts
 from postflock.operators.dbscan import dbscan
 from postflock.operators.quantile import exact_quantile
 from postflock.operators.ranking import (
@@ -370,3 +370,63 @@ def test_kmeans_of_few_points(spark):
     assert {r.id: r.cluster for r in cl.kmeans(frame(same + [(9, [5.0, 5.0])]), 3, restarts=2).collect()} == {**dict.fromkeys(range(5), 0), 9: 1}
     assert cl.kmeans(frame([(3, [0.0, 0.0])]), 2).collect()[0].cluster == 0
     assert cl.kmeans(frame([]), 2).count() == 0
+
+
+def _scored(spark):
+    rng, rows = random.Random(4), []
+    for i in range(1200):
+        good = rng.random() < 0.5
+        word = rng.choice(["fine", "lovely"] if good else ["dull", "grim"])
+        turned = rng.random() < 0.2
+        said = ("nay " if turned else "") + word
+        near = {"fine": "sunlit", "grim": "murky"}.get(word, "plain")
+        text = " ".join(rng.choice(["table", "chair", "lamp", "door"]) for _ in range(4)) + f" {said} {near}"
+        rows.append((i, text, (1.0 if good else -1.0) * (-1 if turned else 1)))
+    rows += [(2000, None, 1.0), (2001, "", -1.0), (2002, "fine", None), (2003, "fine grim", 0.0)] + rows[:3]
+    return spark.createDataFrame(rows, "post_id long, text string, sentiment_score double"), rows
+
+
+def test_log_odds_and_spread_by_brute_force(spark):
+    frame, rows = _scored(spark)
+    pos, neg, pairs = defaultdict(int), defaultdict(int), defaultdict(int)
+    for _, text, score in rows:
+        words = (text or "").split()
+        for w in set(words):
+            if score:
+                (pos if score > 0 else neg)[w] += 1
+        for a, b in zip(words, words[1:]):
+            if a != b:
+                pairs[a, b] += 1
+                pairs[b, a] += 1
+    p, n = sum(pos.values()), sum(neg.values())
+    found = {r.word: r for r in ind.log_odds(frame).collect()}
+    assert set(found) == set(pos) | set(neg)
+    for w, r in found.items():
+        a = ind.PRIOR * (pos[w] + neg[w]) / (p + n)
+        odds = math.log((pos[w] + a) / (p + ind.PRIOR)) - math.log((neg[w] + a) / (n + ind.PRIOR))
+        assert (r.pos, r.neg) == (pos[w], neg[w]) and abs(r.log_odds - odds) < 1e-9
+        assert abs(r.z - odds / math.sqrt(1 / (pos[w] + a) + 1 / (neg[w] + a))) < 1e-9
+    seeds = {"fine": 0.8, "grim": -0.6}
+    held = dict(seeds)
+    for _ in range(2):
+        held = {**{w: sum(held.get(o, 0.0) * c for (v, o), c in pairs.items() if v == w and c > 1)
+                   / sum(c for (v, o), c in pairs.items() if v == w and c > 1)
+                   for w in {v for (v, _), c in pairs.items() if c > 1}}, **seeds}
+    spread = dict(map(tuple, ind.spread(
+        spark.createDataFrame(list(seeds.items()), "word string, polarity double"), ind.neighbours(frame)).collect()))
+    assert all(abs(spread.get(w, 0.0) - x) < 1e-9 for w, x in held.items()) and set(spread) <= set(held)
+
+
+def test_induced_lexicon(spark):
+    """Polar words, their companions and the negation are found; held-out posts are told apart; nothing comes of nothing."""
+    frame, _ = _scored(spark)
+    rows = {r.word: r for r in ind.lexicon(frame).collect()}
+    assert all(rows[w].polarity > 0.2 for w in ("fine", "lovely")) and all(rows[w].polarity < -0.2 for w in ("dull", "grim"))
+    assert rows["sunlit"].polarity > 0.05 and rows["murky"].polarity < -0.05
+    assert rows["nay"].is_negation and [w for w, r in rows.items() if r.is_negation] == ["nay"]
+    # A negation turns the next word alone, so a turned word with a polar companion is left out.
+    text = {r.post_id: r.text for r in frame.collect()}
+    out = [r for r in ind.held_out(frame.filter("text is not null and text <> ''")).collect()
+           if not ("nay" in text[r.post_id] and text[r.post_id].endswith(("sunlit", "murky")))]
+    assert len(out) > 200 and sum((r.score > 0) == (r.said > 0) for r in out) >= 0.95 * len(out)
+    assert ind.lexicon(frame.filter("sentiment_score is null")).count() == 0 and ind.lexicon(frame.limit(0)).count() == 0
