@@ -10,7 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from postflock.operators import overlap as ov, tfidf as ti
-from postflock.operators import blocks as bl, dbscan as db, induced as ind, quantile as qu, ranking as rk, similarity as sm, starts
+from postflock.operators import (
+    blocks as bl, dbscan as db, induced as ind, products as pr, quantile as qu, ranking as rk, similarity as sm, starts,
+)
 from postflock.operators.dbscan import dbscan
 from postflock.operators.quantile import exact_quantile
 from postflock.operators.ranking import (
@@ -114,6 +116,45 @@ def test_top_by_jaccard(spark, head, plain_rows, seed):
         assert found.get(me, []) == [(o, -s) for s, o in sorted(x for x in scores if x[0] < 0)[:3]]
 
 
+@pytest.mark.parametrize("head", [4, 16])
+def test_two_steps_stay_exact(spark, monkeypatch, head):
+    """The same two steps where a product of blocks would cost less."""
+    monkeypatch.setattr(ov, "STEP_PAIRS", 0)
+    counts = hot_sets(seed=9)
+    data = spark.createDataFrame([(p, k, n) for (p, k), n in counts.items()], "p long, key string, n long")
+    wants = data.select(F.col("p").alias("me"), "key")
+    postings = data.select("key", F.col("p").alias("item"), F.col("n").alias("v"))
+    assert listed(ov.top_by_sum(wants, postings, 3, head=head, plain_rows=0)) == by_sum(counts, set(), 3)
+    whole = listed(ov.top_by_jaccard(wants, 3))
+    assert listed(ov.top_by_jaccard(wants, 3, head=head, plain_rows=0)) == whole
+
+
+def test_many_popular_keys_are_multiplied_in_blocks(spark, monkeypatch):
+    """Where all share many popular keys the two steps, which shuffle pairs, are not begun."""
+    def refuse(*_):
+        raise AssertionError("the two steps made pairs")
+
+    monkeypatch.setattr(ov, "_settle", refuse)
+    for name, value in (("BLOCK_ROWS", 16), ("TILE", 300), ("PIECE", 7), ("FIRST", 3), ("STEP", 8), ("DENSE", 150)):
+        monkeypatch.setattr(pr, name, value)
+    counts = hot_sets(seed=8)
+    excluded = {(p, (p * 7) % 60) for p in range(60)}
+    data = spark.createDataFrame([(p, k, n) for (p, k), n in counts.items()], "p long, key string, n long")
+    wants = data.select(F.col("p").alias("me"), "key")
+    found = ov.top_by_sum(
+        wants, data.select("key", F.col("p").alias("item"), F.col("n").alias("v")), 5,
+        exclude=spark.createDataFrame(sorted(excluded), "me long, item long"), head=16, plain_rows=0,
+    )
+    assert listed(found) == by_sum(counts, excluded, 5)
+    sets = defaultdict(set)
+    for p, key in counts:
+        sets[p].add(key)
+    found = listed(ov.top_by_jaccard(wants, 5, head=16, plain_rows=0))
+    for me in sets:
+        scores = [(-len(sets[me] & sets[o]) / len(sets[me] | sets[o]), o) for o in sets if o != me]
+        assert found.get(me, []) == [(o, -s) for s, o in sorted(x for x in scores if x[0] < 0)[:5]]
+
+
 def test_pair_overlap(spark):
     sets = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "c")], "me long, key string")
     pairs = spark.createDataFrame([(1, 2), (1, 3), (3, 4)], "a long, b long")
