@@ -181,6 +181,18 @@ def test_bounded_paths_equal_plain_ones(spark):
         assert sorted(map(tuple, query(0).collect())) == sorted(map(tuple, query(10**9).collect()))
 
 
+def test_last_places_mark_the_newest_by_others(spark):
+    """A user's cut in the pool leaves the posts that ``newest_by_others`` lists, also for busy and unknown users."""
+    start = datetime(2025, 1, 1)
+    rows = [(i, 1 if i % 3 else i % 5, start + timedelta(minutes=i // 2)) for i in range(60)]
+    pool = rc.newest_pool(spark.createDataFrame(rows, "post_id long, user_id long, ts timestamp"), 7)
+    people = spark.createDataFrame([(0,), (1,), (3,), (99,)], "me long")
+    places = rc.pool_list(pool).select(F.inline("_pool"))
+    kept = places.crossJoin(rc.last_places(people, pool, 7)).filter("user_id <> me AND place <= _last")
+    wanted = rc.newest_by_others(people, pool, 7).select("me", "item")
+    assert sorted(map(tuple, kept.select("me", "post_id").collect())) == sorted(map(tuple, wanted.collect()))
+
+
 def test_features_are_standardised(spark, golden):
     posts, _ = golden
     scaled = cl.scaled(cl.behaviour_features(posts)).collect()
