@@ -181,6 +181,19 @@ def test_bounded_paths_equal_plain_ones(spark):
         assert sorted(map(tuple, query(0).collect())) == sorted(map(tuple, query(10**9).collect()))
 
 
+def test_texts_are_dealt_by_their_size(spark, monkeypatch):
+    """Much text goes to many tasks, which Spark does not merge again by the size of the compressed texts."""
+    from postflock.sources import social
+    from tests.conftest import SMALL
+
+    few = social.SocialTables(spark, SMALL).text_posts
+    size = few.agg(F.sum(F.octet_length("text"))).first()[0]
+    monkeypatch.setattr(social, "TEXT_BYTES", size // 50)
+    many = social.SocialTables(spark, SMALL).text_posts
+    assert many.rdd.getNumPartitions() >= 50
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+
+
 def test_last_places_mark_the_newest_by_others(spark):
     """A user's cut in the pool leaves the posts that ``newest_by_others`` lists, also for busy and unknown users."""
     start = datetime(2025, 1, 1)
