@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from postflock.operators.cooccur import cooccurrence
 from postflock.plans import cluster as cl, graph as gr, recommend as rc, stats as st, tags as tg
 from postflock.plans.stats import profiles
+from postflock.session import cut_lineage
 from postflock.sources import analyses
 
 # Page sizes.
@@ -79,13 +80,15 @@ def clustering_analysis(
     stamp: str | None = None,
 ) -> Analysis:
     """Cluster users, save document and rows, return path and short summary."""
-    run = cl.behaviour_clusters(posts, n_clusters, method, restarts)
+    text, people = cl.text_weights(posts), cut_lineage(profiles(posts))
+    run = cl.behaviour_clusters(posts, n_clusters, method, restarts, text=text, people=people)
+    run = replace(run, assigned=cut_lineage(run.assigned))
     quality = None
     if run.n_clusters > 1:
         flat = run.assigned.select(F.col("user_id").alias("id"), "cluster").filter(F.col("cluster") >= 0)
         quality = cl.silhouette(run.features, flat)
-    full = cl.summary(run.assigned, posts, post_tags, cl.text_weights(posts))
-    means = profiles(posts).select("user_id", "avg_sentiment", "posts")
+    full = cut_lineage(cl.summary(run.assigned, posts, post_tags, text, people))
+    means = people.select("user_id", "avg_sentiment", "posts")
     stamp = stamp or datetime.now().strftime(analyses.STAMP)
     document = analyses.result_document(run, full, users, quality, stamp)
     rows = analyses.feature_rows(run, posts, post_tags, users, means)

@@ -48,12 +48,11 @@ def result_document(
 
 
 def feature_rows(run: Behaviour, posts: DataFrame, post_tags: DataFrame, users: DataFrame, means: DataFrame) -> DataFrame:
-    """Per-user rows of the CSV dump. Texts come in parts for users with very many posts."""
-    texts = profile_texts(posts, F.col("text")).withColumnRenamed("text", "tweet_text")
-    ordered = post_tags.groupBy("post_id", "user_id").agg(
-        F.array_join(F.array_sort(F.collect_list("tag")), " ").alias("_tags")
-    )
-    marks = profile_texts(ordered, F.col("_tags")).withColumnRenamed("text", "hashtag_text")
+    """Per-user rows of the CSV dump. Texts come in parts for users with very many posts; their tags, by post and then by
+    name, in the same parts."""
+    counts = means.select("user_id", "posts")
+    texts = profile_texts(posts, F.col("text"), counts=counts).withColumnRenamed("text", "tweet_text")
+    marks = profile_texts(post_tags, F.col("tag"), counts=counts).withColumnRenamed("text", "hashtag_text")
     return (
         run.assigned.join(users.select("user_id", "username"), "user_id").join(means, "user_id")
         .join(texts, "user_id").join(marks, ["user_id", "chunk"], "left")

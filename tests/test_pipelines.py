@@ -315,3 +315,33 @@ def test_saved_members_are_whole_at_every_size(spark, golden, tmp_path, inline):
         alone = f"{tmp_path}/alone/user_clustering_kmeans_20250419_003309.json"
         spark.read.json(path, schema=ANALYSIS).write.json(alone)
         assert {(r.user_id, r.username) for r in analyses.saved_members(spark, alone).collect()} == set(NAMES)
+
+
+def test_a_clustering_reads_the_posts_a_few_times(spark, golden, tmp_path):
+    """Counts, profiles and the summary are made once, whatever reads them."""
+    posts, users = golden
+    seen = spark.sparkContext.accumulator(0)
+
+    def watch(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    watched = posts.mapInPandas(watch, posts.schema)
+    cl.behaviour_clusters(watched, 2, restarts=1)
+    features = seen.value / len(GOLDEN)
+    done = rp.clustering_analysis(users, watched, links(posts), str(tmp_path), 2, restarts=1, stamp="20250418_003309")
+    done.summary.collect()
+    assert features <= 7, features
+    assert seen.value / len(GOLDEN) - features <= 8, seen.value / len(GOLDEN) - features
+
+
+def test_tags_of_heavy_users_stand_in_the_parts_of_their_texts(spark, golden):
+    posts, users = golden
+    many = spark.range(10_001).select(
+        F.col("id").alias("post_id"), F.lit(1).cast("long").alias("user_id"), F.lit("x").alias("text"))
+    tag = spark.createDataFrame([(10_000, 1, "b"), (10_000, 1, "a"), (3, 1, "c")], "post_id long, user_id long, tag string")
+    run = cl.Behaviour(spark.createDataFrame([(1, 0.0, 0.0, 0)], "user_id long, x double, y double, cluster long"), None, "kmeans", 1, 1)
+    means = spark.createDataFrame([(1, 0.0, 10_001)], "user_id long, avg_sentiment double, posts long")
+    rows = analyses.feature_rows(run, many, tag, users, means).orderBy("chunk").collect()
+    assert [(r.chunk, len(r.tweet_text), r.hashtag_text) for r in rows] == [(0, 19_999, "c"), (1, 1, "a b")]
