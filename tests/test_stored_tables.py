@@ -119,3 +119,21 @@ def test_follows_and_profiles_change_few_shards(spark, tmp_path):
     rows = {r.user_id: tuple(r)[1:] for r in people.rows().collect()}
     assert len(rows) == 300 and rows[5][0] == "new" and rows[6] == ("u6", "u6@x.org", "b") and rows[9][2] == "bio"
     assert len(set(files) - set(_files(people.path))) <= 2
+
+
+def test_an_arrival_is_written_by_several_tasks_and_makes_one_batch(spark):
+    from types import SimpleNamespace
+
+    from postflock.catalog import streams
+
+    posts = spark.range(0, 5000, 1, 3).filter("id % 10 <> 0").select(
+        F.col("id").alias("post_id"), F.lit("#a").alias("text"), F.timestamp_seconds(1_700_000_000 + F.col("id")).alias("ts"))
+    root, stream = streams._arrivals(SimpleNamespace(spark=spark), posts, file_rows=200)
+    files = spark.read.parquet(f"{root}/in").groupBy(F.input_file_name()).count().collect()
+    assert len(files) % streams.FILES == 0 and len(files) > streams.FILES
+    sizes = {}
+    stream.writeStream.foreachBatch(lambda batch, number: sizes.update({number: batch.agg(F.min("ts"), F.count("ts")).first()})).option(
+        "checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    assert len(sizes) == streams.FILES
+    assert sum(found[1] for found in sizes.values()) == sum(1 + (i % 7 == 0) for i in range(5000) if i % 10)
+    assert [sizes[i][0] for i in range(streams.FILES)] == sorted(found[0] for found in sizes.values())
