@@ -471,3 +471,16 @@ def test_induced_lexicon(spark):
            if not ("nay" in text[r.post_id] and text[r.post_id].endswith(("sunlit", "murky")))]
     assert len(out) > 200 and sum((r.score > 0) == (r.said > 0) for r in out) >= 0.95 * len(out)
     assert ind.lexicon(frame.filter("sentiment_score is null")).count() == 0 and ind.lexicon(frame.limit(0)).count() == 0
+
+
+def test_pairs_in_cells_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(7)
+    vectors = rng.random((60, 8)) * (rng.random((60, 8)) < 0.6)
+    vectors[np.arange(60), np.arange(60) % 8] += 0.1
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    rows = [(doc, f"t{i}", float(x)) for doc, v in enumerate(vectors) for i, x in enumerate(v) if x]
+    weights = spark.createDataFrame(rows, "doc long, term string, w double")
+    cells = sm.in_cells(weights, 8, 0.6, cell_rows=17).collect()
+    cosine = vectors @ vectors.T
+    expected = {(a, b): round(cosine[a, b], 9) for a in range(60) for b in range(a + 1, 60) if cosine[a, b] > 0.6}
+    assert len(cells) == len(expected) and {(r.a, r.b): round(r.weight, 9) for r in cells} == expected
