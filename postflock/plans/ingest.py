@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from postflock.functions import text as tx, time as tm
 from postflock.operators.lexicon import score_texts
 from postflock.operators.ranking import first_wins
+from postflock.session import stored
 
 OK, SHORT, MISSING, DUPLICATE = "ok", "short_row", "missing_field", "duplicate"
 # The limits of a profile and the bio given to loaded users.
@@ -35,37 +36,43 @@ def prepare(raw: DataFrame, as_of: Column) -> DataFrame:
     given, ``short``; adds a status that does not look at other rows yet."""
     short = F.col("short") if "short" in raw.columns else F.lit(False)
     score = tx.safe_double(F.trim("sentiment"))
-    username, text = tx.clean_text(F.col("username")), tx.clean_text(F.col("text"))
-    filled = (F.length(username) > 0) & (F.length(text) > 0)
-    return raw.select(
-        "row_no", username.alias("username"), text.alias("text"),
+    # Cleaning is the costly part: it is done in a step of its own, so that the status looks at cleaned columns.
+    clean = raw.select(
+        "row_no", tx.clean_text(F.col("username")).alias("username"), tx.clean_text(F.col("text")).alias("text"),
         tm.parse_raw_time(F.trim("time_text"), as_of).alias("ts"),
-        score.alias("sentiment_score"), tx.sign_label(score).alias("sentiment_label"),
-        F.when(short, SHORT).when(filled, OK).otherwise(MISSING).alias("status"),
+        score.alias("sentiment_score"), tx.sign_label(score).alias("sentiment_label"), short.alias("_short"),
     )
+    filled = (F.length("username") > 0) & (F.length("text") > 0)
+    return clean.withColumn("status", F.when(F.col("_short"), SHORT).when(filled, OK).otherwise(MISSING)).drop("_short")
+
+
+def _classified(raw: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """Every row with its final status, and the narrow columns of the good ones, duplicates included. Rows are cleaned
+    once and stored; repeats are found on a digest of the text, and only the numbers of repeats meet the texts again."""
+    rows = stored(prepare(raw, as_of).withColumn("_digest", F.unhex(F.sha2("text", 256))), "ingest-rows")
+    good = rows.filter(F.col("status") == OK).select("row_no", "username", "ts", "_digest")
+    winners = good.groupBy("username", "_digest").agg(F.min("row_no").alias("row_no"))
+    repeats = good.select("row_no").join(winners.select("row_no"), "row_no", "left_anti").distinct()
+    repeats = stored(repeats.select(F.col("row_no").alias("_row"), F.lit(True).alias("_repeat")), "ingest-repeats")
+    status = F.when((F.col("status") == OK) & F.col("_repeat"), DUPLICATE).otherwise(F.col("status"))
+    rows = rows.drop("_digest").join(repeats, F.col("row_no").eqNullSafe(F.col("_row")), "left")
+    return rows.withColumn("status", status).drop("_row", "_repeat"), good.drop("_digest")
 
 
 def classify(raw: DataFrame, as_of: Column) -> DataFrame:
     """Every row with its final status; the first row of a (username, text) wins."""
-    rows = prepare(raw, as_of)
-    good = rows.filter(F.col("status") == OK)
-    winners = (
-        good.groupBy("username", "text").agg(F.min("row_no").alias("row_no"))
-        .select("row_no", F.lit(True).alias("_first"))
-    )
-    status = F.when((F.col("status") == OK) & F.col("_first").isNull(), DUPLICATE).otherwise(F.col("status"))
-    return rows.join(winners, "row_no", "left").withColumn("status", status).drop("_first")
+    return _classified(raw, as_of)[0]
 
 
 def ingest(raw: DataFrame, as_of: Column) -> Ingested:
     """Set-based load. ``post_id`` is the row number of the winning row, ``user_id`` that of the
-    user's first good row, so ids need no counter shared between tasks."""
-    rows = classify(raw, as_of)
-    good = rows.filter(F.col("status").isin(OK, DUPLICATE))
-    users = first_wins(good.select("row_no", "username", "ts"), ["username"], "row_no").select(
+    user's first good row, so ids need no counter shared between tasks. Rows and users are stored once; the frames
+    are read from there."""
+    rows, good = _classified(raw, as_of)
+    users = stored(first_wins(good, ["username"], "row_no").select(
         F.col("row_no").alias("user_id"), "username", tx.synthetic_email(F.col("username")).alias("email"),
         F.lit(LOADED_BIO).alias("bio"), F.col("ts").alias("member_since"),
-    )
+    ), "ingest-users")
     posts = (
         rows.filter(F.col("status") == OK).join(users.select("user_id", "username"), "username")
         .select(
