@@ -266,6 +266,13 @@ class CountTree:
         return self.order[at[self._open(query, size, self.fine[at], self.sizes[at])]]
 
 
+def _allowed(counts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which two of a few points the bound does not rule out: what CountTree finds, for all at once."""
+    shared = np.minimum(counts[:, None], counts[None]).sum(axis=2, dtype=np.int32)
+    full = (counts == MOST).any(axis=1)
+    return (shared >= least_overlap(size[:, None], size[None])) | (full[:, None] & full[None])
+
+
 def _first_met(least: np.ndarray, name: int, i: int, at: np.ndarray) -> np.ndarray:
     """Of the rows ``at`` those that do not meet row ``i`` in a bucket of lesser name, as far as the lists of
     their NAMES_KEPT least names show. The bucket of least name always keeps its pairs."""
@@ -283,10 +290,17 @@ def _surviving(name: int, rows: dict[str, np.ndarray], forest: bool) -> list[tup
     part, key, size, counts = rows["component"].copy(), rows["key"], rows["size"], rows["counts"]
     if not left.size or not right.size or (part == part[0]).all():
         return []
-    tree = CountTree(counts[right], size[right])
+    small = part.size <= LEAF
+    if small:
+        may = _allowed(counts, size)
+    else:
+        tree = CountTree(counts[right], size[right])
     found = []
     for i in left:
-        at = right[tree.search(counts[i], size[i], part[right] != part[i])]
+        other = part[right] != part[i]
+        at = right[other & may[i, right]] if small else right[tree.search(counts[i], size[i], other)]
+        if not at.size:
+            continue
         at = _first_met(rows["least"], name, i, at)
         if forest and at.size:
             joined, one = np.unique(part[at], return_index=True)
@@ -364,11 +378,22 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(after.select("key", F.coalesce("label", "component").alias("component")), "jaccard-labels")
 
 
-def _remaining(
-    rows: DataFrame, contents: DataFrame, tested: DataFrame | None, forest: bool, settled: bool = False
-) -> DataFrame:
-    """Candidate pairs (a, b) of different components, from the buckets that still hold several: all, or for a
-    ``forest`` enough of each bucket to connect what its candidates connect. Of buckets with the same members
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (name, salt, key) with the component of each key, stored, as a turn reads them several times."""
+    return stored(rows.select("name", "salt", "key").join(labels, "key"), "jaccard-rows")
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows of names that hold several components, stored. Components only grow together: a name that is left out
+    stays closed, and later turns do not read it."""
+    names = rows.groupBy("name").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter(
+        F.col("_low") != F.col("_high"))
+    return stored(rows.join(names.select("name"), "name", "left_semi"), "jaccard-open")
+
+
+def _unsettled(rows: DataFrame, tested: DataFrame | None, settled: bool = False) -> DataFrame:
+    """The rows of the buckets that still hold several components and have to be looked into, with ``hot`` if a bucket
+    is dealt by salt, stored. Later turns need no other rows. Of buckets with the same members
     one is enough; a key that stands twice counts with its salts, or it would leave no trace in the XOR. A bucket of
     two sets has one pair: it is left out if that has been tested, and once a forest turn has ``settled`` such buckets."""
     members = [F.bit_xor(F.xxhash64("key", "salt", F.lit(seed))).alias(f"_members{seed}") for seed in (1, 2)]
@@ -382,8 +407,13 @@ def _remaining(
     elif tested is not None:
         known = tested.withColumn("_rows", F.lit(2).cast("long"))
         open_names = open_names.join(known, ["a", "b", "_rows"], "left_anti")
+    return stored(rows.join(open_names.select("name", "hot"), "name"), "jaccard-unsettled")
+
+
+def _remaining(rows: DataFrame, contents: DataFrame, forest: bool) -> DataFrame:
+    """Candidate pairs (a, b) of different components, from the buckets of the ``_unsettled`` rows: all, or for a
+    ``forest`` enough of each bucket to connect what its candidates connect."""
     every = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS))).otherwise(F.array(F.lit(0)))
-    rows = rows.join(open_names.select("name", "hot"), "name")
     least = rows.groupBy("key").agg(F.slice(F.concat(
         F.array_sort(F.collect_set("name")), F.array_repeat(F.lit(NO_NAME), NAMES_KEPT)), 1, NAMES_KEPT).alias("least"))
     rows = (
@@ -407,12 +437,17 @@ def _grouped(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     buckets = stored(_buckets(members), "jaccard-buckets")
     contents = stored(_contents(docs, members, buckets.select("key").distinct(), words), "jaccard-contents")
     labels = buckets.select("key").distinct().withColumn("component", F.col("key"))
-    tested = None
+    rows, tested = buckets.withColumn("component", F.col("key")), None
     for turn in range(STAR_TURNS + FOREST_TURNS + 1):
         star = turn < STAR_TURNS
-        rows = buckets.join(labels, "key").repartition(*["name", "salt"][:2 if star else 1])
-        pairs = _meeting(rows, turn) if star else _remaining(
-            rows, contents, tested, turn < STAR_TURNS + FOREST_TURNS, turn > STAR_TURNS)
+        if turn:
+            rows = _labelled(rows, labels)
+        if star:
+            rows = _open(rows) if turn else rows
+            pairs = _meeting(rows.repartition("name", "salt"), turn)
+        else:
+            rows = _unsettled(rows, tested, turn > STAR_TURNS)
+            pairs = _remaining(rows, contents, turn < STAR_TURNS + FOREST_TURNS)
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
         tested = pairs if tested is None else tested.union(pairs)
         if star:

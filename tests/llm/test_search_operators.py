@@ -172,6 +172,24 @@ def test_hot_and_other_buckets_of_different_groups_are_all_searched(spark, monke
     assert Counter(map(tuple, jaccard.groups(docs).collect())) == _components(rows)
 
 
+def test_later_turns_read_only_what_is_left(spark, monkeypatch):
+    """Each turn read all buckets again, several times; now only those that the turn before left open."""
+    kept, rows, stored = [], [], jaccard.stored
+
+    def noted(frame, name):
+        done = stored(frame, name)
+        if name == "jaccard-pairs":
+            kept.append(any("jaccard-buckets" in f for f in frame.inputFiles()))
+        if name in ("jaccard-open", "jaccard-unsettled"):
+            rows.append(done.count())
+        return done
+
+    monkeypatch.setattr(jaccard, "stored", noted)
+    texts = _copies()
+    assert Counter(map(tuple, jaccard.groups(documents(spark, texts)).collect())) == _components(texts)
+    assert kept == [True, False, False, False] and rows == sorted(rows, reverse=True) and len(rows) == 3
+
+
 def test_posting_meets_every_linked_pair():
     rng = random.Random(8)
     for _ in range(400):
@@ -198,6 +216,18 @@ def test_tree_bound_keeps_every_linked_pair():
                 assert j in found
 
 
+def test_small_buckets_are_bounded_as_by_the_tree():
+    rng = np.random.default_rng(10)
+    points = rng.poisson(2, (30, jaccard.COORDINATES)).astype(np.uint8)
+    points[10:20] = np.maximum(points[:10], 1)
+    points[3, 4] = points[25, 9] = jaccard.MOST
+    sizes = points.sum(axis=1, dtype=np.int64)
+    may, tree = jaccard._allowed(points, sizes), jaccard.CountTree(points, sizes)
+    for i in range(30):
+        assert np.flatnonzero(may[i]).tolist() == sorted(tree.search(points[i], sizes[i]).tolist())
+    assert may[3, 25] and may.sum() > 30 and not may.all()
+
+
 def test_one_of_each_group_stays(spark):
     docs = documents(spark, odd_texts())
     kept = jaccard.keep_one(docs)
