@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from postflock.catalog import learned, registry
 from postflock.operators import overlap as ov, tfidf as ti
 from postflock.operators import (
     blocks as bl, dbscan as db, induced as ind, products as pr, quantile as qu, ranking as rk, similarity as sm, starts,
@@ -484,3 +485,93 @@ def test_pairs_in_cells_are_those_of_brute_force(spark):
     cosine = vectors @ vectors.T
     expected = {(a, b): round(cosine[a, b], 9) for a in range(60) for b in range(a + 1, 60) if cosine[a, b] > 0.6}
     assert len(cells) == len(expected) and {(r.a, r.b): round(r.weight, 9) for r in cells} == expected
+
+
+def _cells_only(monkeypatch, cell_rows=15):
+    """All vectors with terms that are few go to the cells, in several blocks."""
+    for name, value in (("PLAIN_ROWS", -1), ("JOINED", 10**9), ("CELL_ROWS", cell_rows), ("RUN", 100)):
+        monkeypatch.setattr(sm, name, value)
+
+
+@pytest.mark.parametrize("named", [lambda d: d, lambda d: f"d{d}"], ids=["numbers", "names"])
+def test_links_from_cells_are_not_stored(spark, monkeypatch, named):
+    """Tables hold no more rows than there are documents or terms, and a link takes what is known of its ends along."""
+    _cells_only(monkeypatch)
+    sizes, real = {}, sm.stored
+
+    def spy(df, name):
+        table = real(df, name)
+        sizes[name] = table.count()
+        return table
+
+    monkeypatch.setattr(sm, "stored", spy)
+    vectors, rows = _unit_rows(np.random.default_rng(4), 60, 40)
+    kind = "long" if named(0) == 0 else "string"
+    network = sm.similar(spark.createDataFrame([(named(d), t, w) for d, t, w in rows], f"doc {kind}, term string, w double"), 0.6)
+    names = [named(d) for d in range(100)]
+    cls = {named(d): min(named(i) for i, v in enumerate(vectors) if np.allclose(v, vectors[d], atol=1e-12)) for d in range(100)}
+    assert dict(network.members.collect()) == cls
+    linked = {named(d): int(sum(vectors[d] @ v > 0.6 for v in vectors)) - 1 for d in range(100)}
+    assert dict(network.degrees().collect()) == linked
+    of = dict(zip(names, vectors))
+    first = sorted(set(cls.values()))
+    expected = {(a, b): of[a] @ of[b] for a in first for b in first if a < b and of[a] @ of[b] > 0.6}
+    expected |= {(cls[d], d): 1.0 for d in names if cls[d] != d}
+    colour = {d: len(d) if kind == "string" else d % 7 for d in names}
+    nodes = spark.createDataFrame([(d, colour[d], linked[d]) for d in names], f"doc {kind}, colour long, links long")
+    links = network.links(nodes, a=("colour", "links"), b=("colour",))
+    found = [(r.a, r.b, r.colour_a, r.links_a, r.colour_b) for r in links.collect()]
+    assert sorted(found) == sorted((a, b, colour[a], linked[a], colour[b]) for a, b in expected)
+    plain = {(r.a, r.b): r.weight for r in network.links().collect()}
+    assert plain.keys() == expected.keys() and all(math.isclose(plain[p], expected[p], abs_tol=1e-12) for p in plain)
+    assert len(expected) > 300 and max(sizes.values()) <= 100
+    # Past the products neither end is joined with or sent anywhere.
+    plan = network.cells.pairs(nodes, ("colour",), ("colour",))._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan.split("MapInArrow")[0] for word in ("Join", "Exchange"))
+
+
+def test_links_by_joins_take_the_ends_along(spark):
+    vectors, rows = _unit_rows(np.random.default_rng(5), 20, 10)
+    network = sm.similar(spark.createDataFrame(rows, "doc long, term string, w double"), 0.6)
+    nodes = spark.range(30).select(F.col("id").alias("doc"), (F.col("id") % 7).alias("colour")).filter("doc <> 3")
+    found = {(r.a, r.b): (r.colour_a, r.colour_b) for r in network.links(nodes, a=("colour",), b=("colour",)).collect()}
+    assert network.cells is None and found == {
+        (r.a, r.b): (r.a % 7, r.b % 7) for r in network.links().collect() if 3 not in (r.a, r.b)}
+
+
+def test_a_vector_is_copied_to_few_blocks(spark):
+    """The copies of a vector stay few as vectors grow, until a block would hold too much."""
+    single = spark.createDataFrame([(1, 1, [(0, 1.0)])], "doc long, n long, v array<struct<term: short, w: double>>")
+    blocks = {n: sm.Cells.of(single, n, 100, 0.3).blocks for n in (0, 1, 2000, 90_000, 4_000_000)}
+    assert blocks[0] == blocks[1] == blocks[2000] == 1
+    assert blocks[90_000] <= 8 and blocks[4_000_000] == 100
+    rows = spark.range(50).select(F.col("id").alias("doc"), F.lit(1.0).alias("n"))
+    dealt = sm.Cells(rows, 50, 1, 0.3, 5)._dealt(rows)
+    meet = [(r.i, r.j, r.side) for r in dealt.collect()]
+    tasks = {(r.task, r.i, r.j) for r in dealt.withColumn("task", F.spark_partition_id()).collect()}
+    assert len(tasks) == 15 == len({t for t, _, _ in tasks})
+    assert len(meet) == 250 and set(meet) == {(i, j, s) for i in range(5) for j in range(i, 5) for s in (0, 1) if i < j or not s}
+
+
+def test_joined_rows_are_those_of_the_posted_terms(spark):
+    _, rows = _unit_rows(np.random.default_rng(6), 50, 10)
+    weights = spark.createDataFrame(rows, "doc long, term string, w double")
+    for threshold in (0.3, 0.6, 0.95):
+        _, single = sm.vector_classes(sm.numbered(weights, weights.select("term").distinct()))
+        posted = sm.posted(single.select("doc", F.inline("v")), threshold)
+        counts = [r["count"] for r in posted.groupBy("term").count().collect()]
+        assert math.isclose(sm._joined_rows(single, threshold), sum(n * n / 2 for n in counts))
+    assert sm._joined_rows(single.limit(0), 0.3) == 0
+
+
+def test_signs_of_zero_make_no_classes(spark):
+    rows = [(1, "a", 1.0), (1, "b", 0.0), (2, "a", 1.0), (2, "b", -0.0), (3, "a", 1.0), (4, "a", 1.0 + 1e-12)]
+    members, single = sm.vector_classes(spark.createDataFrame(rows, "doc long, term string, w double"))
+    assert dict(members.collect()) == {1: 1, 2: 1, 3: 3, 4: 3} and {(r.doc, r.n) for r in single.collect()} == {(1, 2), (3, 2)}
+
+
+def test_cosines_are_rounded_as_others(spark):
+    rng = np.random.default_rng(8)
+    values = [0.3000005, 0.1234565, 0.9999995, 1.0, 0.30000049999999996, 0.5, 1 + 2e-16, *rng.random(2000), *(rng.integers(300000, 10**6, 2000) + 0.5) / 1e6]
+    frame = spark.createDataFrame([(float(x),) for x in values], "x double")
+    assert frame.filter(learned._r6_cosine(F.col("x")) != registry.r6("x", "x")).count() == 0
